@@ -32,3 +32,51 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id
 """
+
+
+def op9_mix_sources(spark, sf_dir):
+    from sparkassay.llm.mixing import mix_sources
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES["op9_mix_sources"] = op9_mix_sources
+ORACLES["op9_mix_sources"] = r"""
+WITH z AS (
+  SELECT doc_id, source, md5('7|' || coalesce(doc_id::VARCHAR, 'null')) AS k,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS total FROM z GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS no, 2 * total AS cap, (sum(total) OVER ())::BIGINT AS everything FROM s0),
+s2 AS (SELECT *, [3, 1, 2][((no - 1) % 3 + 1)::INT] AS w FROM s1),
+s3 AS (SELECT *, row_number() OVER f AS i,
+         coalesce(sum(cap) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c,
+         (sum(w) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS ws
+       FROM s2 WINDOW f AS (ORDER BY cap::DOUBLE / w, no)),
+s4 AS (SELECT *, 3 * everything - 2 * c AS twice_left FROM s3),
+s5 AS (SELECT *, min(i) FILTER (WHERE cap::DOUBLE * 2 * ws > w::DOUBLE * twice_left) OVER () AS first FROM s4),
+s6 AS (SELECT *, max(twice_left) FILTER (WHERE i = first) OVER () AS l, max(ws) FILTER (WHERE i = first) OVER () AS lw FROM s5),
+s7 AS (SELECT source, no, total, everything, CASE WHEN i >= first THEN (w * l)::DOUBLE / (2 * lw) ELSE cap::DOUBLE END AS target FROM s6),
+s8 AS (SELECT *, greatest(1, least(64, floor(min(target) FILTER (WHERE target > 0) OVER () / 100)))::BIGINT AS block FROM s7),
+s9 AS (SELECT *, floor((everything * 3)::DOUBLE / 2 / block + 0.5)::BIGINT AS seats, floor(target / block + 0.5)::BIGINT AS start FROM s8),
+s10 AS (SELECT *, (seats - sum(start) OVER ())::BIGINT AS d FROM s9),
+sc AS (SELECT no, d, CASE WHEN d > 0 THEN start + j ELSE start - j + 1 END AS seat, target FROM s10, generate_series(1, 64) g(j) WHERE d <> 0),
+sr AS (SELECT no, sign(d) AS step, d, row_number() OVER (ORDER BY CASE WHEN d > 0 THEN -(target / (2 * seat - 1)) ELSE target / (2 * seat - 1) END, no) AS r FROM sc WHERE seat >= 1),
+sm AS (SELECT no, sum(step)::BIGINT AS move FROM sr WHERE r <= abs(d) GROUP BY no),
+s AS (SELECT s10.*, start + coalesce(move, 0) AS quota, greatest(1, ceil(total / 1000000.0))::BIGINT AS shards FROM s10 LEFT JOIN sm USING (no)),
+p AS (SELECT z.doc_id, z.k, z.size, s.no, s.total, s.target, s.block, s.quota, ('0x' || substr(z.k, 1, 8))::BIGINT % s.shards AS shard
+      FROM z JOIN s ON z.source IS NOT DISTINCT FROM s.source),
+h0 AS (SELECT no, shard, sum(size)::BIGINT AS words, first(quota) AS quota, first(total) AS total FROM p GROUP BY no, shard),
+h1 AS (SELECT *, coalesce(floor(words::DOUBLE * quota / nullif(total, 0) + 0.5), 0)::BIGINT AS start FROM h0),
+h2 AS (SELECT *, (quota - sum(start) OVER (PARTITION BY no))::BIGINT AS d FROM h1),
+hc AS (SELECT no, shard, d, words, CASE WHEN d > 0 THEN start + j ELSE start - j + 1 END AS seat FROM h2, generate_series(1, 64) g(j) WHERE d <> 0),
+hr AS (SELECT no, shard, d, row_number() OVER (PARTITION BY no ORDER BY CASE WHEN d > 0 THEN -(words::DOUBLE / (2 * seat - 1)) ELSE words::DOUBLE / (2 * seat - 1) END, shard) AS r FROM hc WHERE seat >= 1),
+hm AS (SELECT no, shard, sum(sign(d))::BIGINT AS move FROM hr WHERE r <= abs(d) GROUP BY no, shard),
+h AS (SELECT h2.no, h2.shard, words, start + coalesce(move, 0) AS own FROM h2 LEFT JOIN hm USING (no, shard)),
+a AS (SELECT p.*, h.words, h.own * p.block AS goal,
+        coalesce(sum(size) OVER (PARTITION BY p.no, p.shard ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+      FROM p JOIN h USING (no, shard))
+SELECT doc_id, size, total AS source_size, target,
+       (greatest(0, least(size, goal - pos)) + greatest(0, least(size, goal - words - pos)))::BIGINT AS taken
+FROM a
+"""
