@@ -80,3 +80,12 @@ SELECT doc_id, size, total AS source_size, target,
        (greatest(0, least(size, goal - pos)) + greatest(0, least(size, goal - words - pos)))::BIGINT AS taken
 FROM a
 """
+
+
+def op4_license_scan(spark, sf_dir):
+    from sparkassay.llm.license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op4_license_scan"] = op4_license_scan
