@@ -89,3 +89,13 @@ def op4_license_scan(spark, sf_dir):
 
 
 QUERIES["op4_license_scan"] = op4_license_scan
+
+
+def op2_quality(spark, sf_dir):
+    from sparkassay.llm.quality import classify_quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify_quality(docs, _table(spark, sf_dir, "labels"), keep_text=False).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES["op2_quality"] = op2_quality
