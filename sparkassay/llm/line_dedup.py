@@ -138,7 +138,8 @@ def dedup_lines(
         # identical rows that share an id collect the same places; array_except takes each once
         gone = scratch.cut(dropped.groupBy("__ld_id", "__ld_th").agg(F.collect_set("__ld_at").alias("__ld_gone")), "gone")
         scratch.drop([lines])
-        gone = gone.select(F.col("__ld_id").alias("__ld_gid"), F.col("__ld_th").alias("__ld_gth"), "__ld_gone")
+        # merged at every size: broadcasting what is dropped would only suit small inputs
+        gone = gone.select(F.col("__ld_id").alias("__ld_gid"), F.col("__ld_th").alias("__ld_gth"), "__ld_gone").hint("merge")
         wide = part.withColumn("__ld_th", F.xxhash64(text)).join(
             gone, ident.eqNullSafe(F.col("__ld_gid")) & (F.col("__ld_th") == F.col("__ld_gth")), "left"
         )
