@@ -99,3 +99,12 @@ def op2_quality(spark, sf_dir):
 
 
 QUERIES["op2_quality"] = op2_quality
+
+
+def op3_html_extract(spark, sf_dir):
+    from sparkassay.llm.html_extract import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES["op3_html_extract"] = op3_html_extract
