@@ -108,3 +108,12 @@ def op3_html_extract(spark, sf_dir):
 
 
 QUERIES["op3_html_extract"] = op3_html_extract
+
+
+def op6_minhash_dedup(spark, sf_dir):
+    from sparkassay.llm.minhash import dedup_near
+
+    return dedup_near(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_minhash_dedup"] = op6_minhash_dedup
