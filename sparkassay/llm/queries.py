@@ -117,3 +117,13 @@ def op6_minhash_dedup(spark, sf_dir):
 
 
 QUERIES["op6_minhash_dedup"] = op6_minhash_dedup
+
+
+def op8_decontaminate(spark, sf_dir):
+    from sparkassay.llm.decontaminate import find_contamination
+
+    found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "first_word", "last_word", "item_words")
+
+
+QUERIES["op8_decontaminate"] = op8_decontaminate
