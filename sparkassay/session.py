@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -35,3 +39,22 @@ def build_session(app: str = "sparkassay", master: str | None = None, **extra: s
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver found it.  Once a context."""
+    context = spark.sparkContext
+    if getattr(context, "_sparkassay_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    tmp = tempfile.mkdtemp(prefix="sparkassay-ship-")  # the driver serves it until it ends
+    atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+    archive = os.path.join(tmp, "sparkassay.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("sparkassay", os.path.relpath(path, root)))
+    context.addPyFile(archive)
+    context._sparkassay_shipped = True
