@@ -127,3 +127,56 @@ def op8_decontaminate(spark, sf_dir):
 
 
 QUERIES["op8_decontaminate"] = op8_decontaminate
+
+
+def page_captures(pages):
+    """A crawl log of the pages: a full response at second ``page_id`` and a 304 a thousand seconds later."""
+    etag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
+    name = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    stored = F.create_map(
+        F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), etag, F.lit("Cache-Control"), F.lit("max-age=60"),
+        F.lit("Content-Length"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string"),
+    )
+    fresh = F.create_map(
+        F.lit("etag"), F.concat(F.lit("W/"), etag), F.lit("cache-control"), F.lit("max-age=600"), F.lit("Content-Length"), F.lit("0"), F.lit("Age"), F.lit("0"),
+    )
+    full = pages.select(
+        F.concat(F.lit("r"), name).alias("record_id"), F.lit("response").alias("kind"), "url", F.timestamp_seconds("page_id").alias("at"),
+        F.when(F.col("html").isNotNull(), 200).otherwise(204).alias("status"), stored.alias("headers"), F.md5(F.coalesce("html", F.lit(""))).alias("digest"),
+    )
+    again = pages.select(
+        F.concat(F.lit("v"), name).alias("record_id"), F.lit("revisit").alias("kind"), "url", F.timestamp_seconds(F.col("page_id") + 1000).alias("at"),
+        F.lit(304).alias("status"), fresh.alias("headers"), F.lit(None).cast("string").alias("digest"),
+    )
+    return full.unionByName(again)
+
+
+def op10_warc_revisits(spark, sf_dir):
+    from sparkassay.llm.warc import header_text, resolve_revisits
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return resolve_revisits(page_captures(pages)).select(
+        "record_id", "canonical_url", "resolution", "response_id", "payload_digest", header_text(F.col("merged_headers")).alias("headers")
+    )
+
+
+QUERIES["op10_warc_revisits"] = op10_warc_revisits
+ORACLES["op10_warc_revisits"] = r"""
+WITH u AS (
+  SELECT page_id, md5(coalesce(html, '')) AS h, html IS NOT NULL AS full_page, strlen(coalesce(html, '')) AS n,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[Ww][Ww][Ww]\.)?([^/?#:]*)', 1)) AS host,
+    regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|jsessionid|phpsessid|sessionid|sid|gclid|fbclid)(=.*)?$'))), '&') AS query
+  FROM pages),
+c AS (SELECT page_id, h, n, full_page,
+    host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical_url FROM u),
+f AS (SELECT * FROM c WHERE full_page),
+j AS (SELECT v.page_id, v.canonical_url, v.h, f.page_id AS fid, f.h AS fh, f.n AS fn
+      FROM (SELECT *, page_id + 1000 AS at_s FROM c) v ASOF LEFT JOIN f ON v.canonical_url = f.canonical_url AND v.at_s > f.page_id)
+SELECT 'v' || page_id AS record_id, canonical_url,
+  CASE WHEN fid IS NULL THEN 'missing' WHEN fh = h THEN 'resolved' ELSE 'mismatch' END AS resolution,
+  'r' || fid AS response_id, CASE WHEN fh = h THEN fh END AS payload_digest,
+  CASE WHEN fh = h THEN 'age: 0; cache-control: max-age=600; content-length: ' || fn || '; content-type: text/html; etag: W/"' || h || '"' END AS headers
+FROM j
+"""
