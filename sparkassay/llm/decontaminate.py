@@ -169,30 +169,59 @@ def find_contamination(
     id_type = texts.schema["id"].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, row_hash long, `{item_col}` long, {SCHEMA}"
     out = None
-    held: list[tuple[int, np.ndarray]] = []
-
-    def emit(block):
-        nonlocal out
+    for block in benchmark_blocks(benchmark, item_col, item_text, block_grams):
         part = _scan_block(texts, block, schema, threshold)
         out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], schema)
 
+
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text: str = "text",
+    threshold: float = THRESHOLD,
+    block_grams: int = 500_000,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no item aligns; filtered batch by batch, without a shuffle."""
+    texts, schema = docs.select(docs[text_col].alias("text")), docs.schema
+    at = docs.columns.index(text_col)
+    for block in benchmark_blocks(benchmark, item_col, item_text, block_grams):
+        sizes, seeds, where = _choose_seeds(texts, block)
+
+        def clean(batches: Iterator[pa.RecordBatch], block=block, sizes=sizes, seeds=seeds, where=where) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = [
+                    i for i, words in texts_words(b.column(at).to_pylist())
+                    if not find_leaks(words, block, sizes, seeds, where, threshold)
+                ]
+                yield b.take(pa.array(keep, pa.int64()))
+
+        docs = docs.mapInArrow(clean, schema)
+    return docs
+
+
+def benchmark_blocks(benchmark: DataFrame, item_col: str, item_text: str, limit: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(item id, words) in blocks of about ``limit`` words; the query set streams through the driver."""
+    held: list[tuple[int, np.ndarray]] = []
     size = 0
-    # the benchmark is the query set: it streams through the driver a block at a time
-    for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL").orderBy("i", "t").toLocalIterator():
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL").orderBy("i", "t")
+    for r in rows.toLocalIterator():
         words = plain_words(r.t)
         if not len(words):
             continue
-        if held and size + len(words) > block_grams:
-            emit(held)
+        if held and size + len(words) > limit:
+            yield held
             held, size = [], 0
         held.append((r.i, words))
         size += len(words)
     if held:
-        emit(held)
-    return out if out is not None else spark.createDataFrame([], schema)
+        yield held
 
 
-def _scan_block(texts: DataFrame, block, schema: str, threshold: float) -> DataFrame:
+def _choose_seeds(texts: DataFrame, block) -> tuple[tuple[int, ...], Filter, dict]:
+    """n-gram sizes, seeds and where they stand, from document counts over all texts."""
     sizes = tuple(sorted({min(GRAM, len(w)) for _, w in block}))
     wanted = Filter(np.concatenate([grams(w) for _, w in block]))
 
@@ -208,7 +237,11 @@ def _scan_block(texts: DataFrame, block, schema: str, threshold: float) -> DataF
     for r in texts.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():
         df[r.g] = r.n
     chosen, where = rare_seeds(block, wanted.wanted, df)
-    seeds = Filter(chosen)
+    return sizes, Filter(chosen), where
+
+
+def _scan_block(texts: DataFrame, block, schema: str, threshold: float) -> DataFrame:
+    sizes, seeds, where = _choose_seeds(texts, block)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
