@@ -180,3 +180,13 @@ SELECT 'v' || page_id AS record_id, canonical_url,
   CASE WHEN fh = h THEN 'age: 0; cache-control: max-age=600; content-length: ' || fn || '; content-type: text/html; etag: W/"' || h || '"' END AS headers
 FROM j
 """
+
+
+def op5_nearest(spark, sf_dir):
+    from sparkassay.llm.ann import nearest_neighbours
+
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest_neighbours(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
+QUERIES["op5_nearest"] = op5_nearest
