@@ -3,7 +3,7 @@
 Both steps replace edges by edges towards the smallest known neighbour and keep
 the components.  Each node's minimum is aggregated map-side and written before
 it is joined back, so both join sides come from their own exchange and a hub's
-partition can be split.  Nothing is collected but counts.
+partition can be split.  Nothing is collected but whether the work is done.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from sparkassay.llm._store import Scratch
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo") % 1_000_003).alias("s")).first()
-    return row.n, row.s
+def _settled(edges: DataFrame) -> bool:
+    """Every larger node has one edge and no smaller node has an edge to a still smaller one."""
+    ends = edges.select(F.col("hi").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("lo", F.lit(0), F.lit(1)))
+    found = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return found.where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
 def _large(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -41,15 +43,11 @@ def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     edges = scratch.cut(
         pairs.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct(), "edges"
     )
-    before = _state(edges)
-    while before[0]:
+    while not _settled(edges):
         grown = _large(edges, scratch)
         after = _small(grown, scratch)
         scratch.drop([edges, grown])
-        edges, now = after, _state(after)
-        if now == before:
-            break
-        before = now
+        edges = after
     # at the end every edge points to its component's smallest node
     return scratch.cut(
         edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(edges.select("lo", "lo").distinct()), "components"

@@ -15,9 +15,10 @@ Pairs are never spelled out inside a group.  First each member of a band meets
 only the band's smallest node; confirmed links make components.  Members of one
 component need no more comparisons.  Bands whose members lie in several components
 then compare members of different components, in blocks of bounded size inside a
-task, and each member sends on its ``width`` best unpruned partners; the width
-grows until a round has sent all, so no link between components is lost and a
-group of near copies costs its size and not its square.
+task, which holds their full sets: unpruned pairs are confirmed there, likeliest
+first, until a member has a link to each component or has met all its members.
+Only links that join components leave the task, so no link between components is
+lost and what is sent grows with a group's size and not with its square.
 
 Defined results: null or empty text, or text without words, has an empty set,
 is linked with nothing and is its own component; fewer than five words are one
@@ -29,7 +30,6 @@ columns named like a result are replaced by it.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from math import comb
 
 import numpy as np
@@ -117,8 +117,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, group in pieces(texts):
             hashes, _, _, counts = word_hashes([t.translate(LOWER) for t in group])
             edges = np.concatenate([[0], np.cumsum(counts)])
-            out = [shingle_set(hashes[edges[i] : edges[i + 1]], SHINGLE).tobytes() for i in range(len(group))]
-            yield pa.RecordBatch.from_arrays([ids.slice(first, len(group)), pa.array(out, pa.binary())], names=["node", "shingles"])
+            sets = [shingle_set(hashes[edges[i] : edges[i + 1]], SHINGLE) for i in range(len(group))]
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(first, len(group)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([signature(x).tobytes() for x in sets], pa.binary())],
+                names=["node", "shingles", "sig"],
+            )
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,14 +145,19 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield t.take(pa.array(alive)).select([0, 1])
 
 
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """The exact test on two sorted sets."""
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in batches:
-        keep = []
-        for i in range(t.num_rows):
-            a, b = (np.frombuffer(t.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-            both = len(np.intersect1d(a, b, assume_unique=True)) if PERCENT * max(len(a), len(b)) <= 100 * min(len(a), len(b)) else 0
-            if 100 * both >= PERCENT * (len(a) + len(b) - both):
-                keep.append(i)
+        keep = [i for i in range(t.num_rows) if linked(*(np.frombuffer(t.column(c)[i].as_buffer(), np.uint64) for c in (2, 3)))]
         yield t.take(pa.array(keep, pa.int64())).select([0, 1])
 
 
@@ -182,29 +190,19 @@ class NearDuplicates:
         chosen = members.select("node").distinct()
         sets = cut(
             self.texts.join(chosen.hint("merge"), self.texts["id"] == chosen["node"], "left_semi")
-            .mapInArrow(_sets, "node long, shingles binary"), "sets",
+            .mapInArrow(_sets, "node long, shingles binary, sig binary"), "sets",
         ).dropDuplicates(["node"])
         sigs = nodes.select("node", "sig")
-        stars = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+        stars = members.where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
         stars = cut(self._with(stars, sigs, "sig").mapInArrow(_prune, "a long, b long"), "stars")
         # first each node with its smallest leader; the rest only where that left components apart
         nearest = stars.groupBy("a").agg(F.min("b").alias("b"))
         links = cut(self._with(nearest, sets, "shingles").mapInArrow(_confirm, "a long, b long"), "links")
         found = components(links, self.scratch)
-        tried, edges = cut(nearest, "tried"), [links]
-        width: int | None = 0
-        while width is not None:
-            part = stars if width == 0 else cut(self._across(members, sigs, found, width), "across")
-            apart = self._apart(part.select("a", "b"), found).join(tried, ["a", "b"], "left_anti")
-            apart = cut(apart, "apart")
-            new = cut(self._with(apart, sets, "shingles").mapInArrow(_confirm, "a long, b long"), "links")
-            tried = tried.select("a", "b").union(apart.select("a", "b"))
-            if not new.isEmpty():
-                edges.append(new)
-                # components so far are edges to their smallest nodes
-                found = components(reduce(DataFrame.union, [found.select(F.col("node").alias("a"), F.col("component").alias("b")), new]), self.scratch)
-            more = width == 0 or not part.where("more").isEmpty()
-            width = (4 if width == 0 else width * 8) if more else None
+        rest = cut(self._apart(stars, found), "apart")
+        new = cut(self._with(rest, sets, "shingles").mapInArrow(_confirm, "a long, b long"), "links")
+        found = self._joined(found, new)
+        found = self._joined(found, cut(self._across(members, sets, found), "across"))
         found = found.select(F.col("node").alias("fn"), F.col("component"))
         named = nodes.select(F.col("n").alias("rn"), F.col("f1").alias("r1"), F.col("f2").alias("r2"), "node")
         named = cut(named.join(found, F.col("node") == F.col("fn"), "left").select("rn", "r1", "r2", F.coalesce("component", "node").alias("component")), "named")
@@ -221,11 +219,16 @@ class NearDuplicates:
         apart = both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
         return apart.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def _across(self, members: DataFrame, sigs: DataFrame, found: DataFrame, width: int) -> DataFrame:
-        """Unpruned pairs across components within a band, the ``width`` best of each member."""
-        named = found.select("node", "component")
-        m = members.where("node <> leader").join(named.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        m = self.scratch.cut(m, "named")
+    def _joined(self, found: DataFrame, new: DataFrame) -> DataFrame:
+        """Components after more links; those so far are edges to their smallest nodes."""
+        if new.isEmpty():
+            return found
+        return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new), self.scratch)
+
+    def _across(self, members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+        """Confirmed links between different components within a band."""
+        m = members.where("node <> leader").join(found.select("node", "component").hint("merge"), "node", "left")
+        m = self.scratch.cut(m.select("band", "key", "node", F.coalesce("component", "node").alias("component")), "named")
         # members of each band's commonest component meet only those outside it
         sizes = m.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("c"))
         bands = sizes.groupBy("band", "key").agg(
@@ -234,38 +237,45 @@ class NearDuplicates:
             "band", "key", F.col("top.component").alias("main"),
             F.ceil(F.col("total") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("total") - F.col("top.c")) / BLOCK).cast("int").alias("nm"),
         )
-        bands = self.scratch.cut(bands, "mixed")
         m = m.join(bands.hint("merge"), ["band", "key"])
         spot = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
         minor = m.where("component <> main").withColumn("j", (spot % F.col("nm")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("minor", F.lit(True))
         every = m.withColumn("i", (spot % F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nm") - 1))).withColumn("minor", F.lit(False))
         cols = ["band", "key", "i", "j", "minor", "node", "component"]
-        blocks = minor.select(*cols).union(every.select(*cols)).join(sigs.hint("merge"), "node")
-
-        def block(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("node")
-            few, all_ = pdf[pdf.minor], pdf[~pdf.minor]
-            band = int(pdf.band.iloc[0])
-            out, more = [], False
-            if len(few) and len(all_):
-                sa, sb = (np.frombuffer(b"".join(x.sig), np.uint32).reshape(-1, HASHES) for x in (few, all_))
-                ca, cb = few.component.to_numpy(), all_.component.to_numpy()
-                na, nb = few.node.to_numpy(), all_.node.to_numpy()
-                for k in range(len(few)):
-                    other = np.flatnonzero(cb != ca[k])
-                    alive, matches = unpruned(np.broadcast_to(sa[k], (len(other), HASHES)), sb[other])
-                    # a pair is taken in the first band it shares
-                    first = (sa[k].reshape(BANDS, ROWS) == sb[other[alive]].reshape(-1, BANDS, ROWS)).all(2).argmax(1) == band
-                    alive, matches = alive[first], matches[first]
-                    best = np.lexsort((nb[other[alive]], -matches))
-                    more |= len(best) > width
-                    for b in nb[other[alive[best[:width]]]]:
-                        out.append((na[k], b))
-            pairs = pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-            pairs["more"] = more
-            return pairs
-
-        return blocks.groupBy("band", "key", "i", "j").applyInPandas(block, "a long, b long, more boolean")
+        blocks = minor.select(*cols).union(every.select(*cols)).join(sets.hint("merge"), "node")
+        return blocks.groupBy("band", "key", "i", "j").applyInPandas(join_block, "a long, b long")
+
+
+def join_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between the block's minor members and its members of other components."""
+    pdf = pdf.sort_values("node")
+    few, every = pdf[pdf.minor], pdf[~pdf.minor]
+    out = []
+    if len(few) and len(every):
+        band = int(pdf.band.iloc[0])
+        mine, sigs = (np.frombuffer(b"".join(x.sig), np.uint32).reshape(-1, HASHES) for x in (few, every))
+        nodes, home = every.node.to_numpy(), every.component.to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in every.shingles]
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in root:
+                c = root[c]
+            return c
+
+        for k, (node, component, raw) in enumerate(zip(few.node, few.component, few.shingles, strict=True)):
+            other = np.flatnonzero(home != component)
+            alive, matches = unpruned(np.broadcast_to(mine[k], (len(other), HASHES)), sigs[other])
+            # a pair is compared in the first band it shares
+            first = (mine[k].reshape(BANDS, ROWS) == sigs[other[alive]].reshape(-1, BANDS, ROWS)).all(2).argmax(1) == band
+            alive, matches = other[alive[first]], matches[first]
+            own = np.frombuffer(raw, np.uint64)
+            for i in alive[np.lexsort((nodes[alive], -matches))]:
+                a, b = top(component), top(home[i])
+                if a != b and linked(own, sets[i]):
+                    out.append((node, nodes[i]))
+                    root[max(a, b)] = min(a, b)
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
