@@ -6,7 +6,7 @@ import importlib
 
 from sparkassay.plans.catalog import ORACLES, QUERIES
 
-FAMILIES = ("stats",)
+FAMILIES = ("stats", "clean", "joins", "metrics", "splits", "text")
 
 
 def _load() -> None:
