@@ -190,3 +190,13 @@ def op5_nearest(spark, sf_dir):
 
 
 QUERIES["op5_nearest"] = op5_nearest
+
+
+def op7_suffix_dedup(spark, sf_dir):
+    from sparkassay.llm.suffix_dedup import remove_repeats
+
+    out = remove_repeats(_table(spark, sf_dir, "documents"), keep_text=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES["op7_suffix_dedup"] = op7_suffix_dedup
