@@ -13,6 +13,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -28,6 +31,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        # rows here hold whole texts or sets: ten thousand of them are too much for one Arrow batch
+        if int(spark.conf.get(BATCH_ROWS)) > MOST_ROWS:
+            spark.conf.set(BATCH_ROWS, str(MOST_ROWS))
         self._n = 0
 
     def path(self, name: str) -> str:

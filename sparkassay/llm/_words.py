@@ -87,7 +87,7 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(gram_hashes(words, min(n, len(words))))
 
 
-def pieces(texts: list, limit: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def pieces(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, bytes of the texts) in groups of about ``limit`` bytes, null as empty."""
     first, held, group = 0, 0, []
     for i, t in enumerate(texts):
