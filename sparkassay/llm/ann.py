@@ -65,6 +65,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unit_rows(raw: list[bytes]) -> np.ndarray:
+    """Unit rows; shorter vectors get zeros, which change no product with their like."""
+    width = max(map(len, raw), default=1)
+    raw = [r if len(r) == width else r + bytes(width - len(r)) for r in raw]
     x = np.frombuffer(b"".join(raw), np.int8).reshape(len(raw), -1).astype(np.float32)
     return x / np.sqrt((x * x).sum(1))[:, None]
 

@@ -30,7 +30,7 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = key[sa]
     first = np.ones(n, bool)
     first[1:] = key[1:] != key[:-1]
-    rank = np.zeros(n + PAD, np.int64)
+    rank = np.full(n + PAD, -1, np.int64)  # what lies behind the end comes first
     slots = np.arange(n)
     rank[sa] = np.maximum.accumulate(np.where(first, slots, 0))
     for step in STEPS:
@@ -40,7 +40,7 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(slots):
             break
         at = sa[slots]
-        both = (rank[at].astype(np.uint64) << np.uint64(32)) | rank[at + step].astype(np.uint64)
+        both = (rank[at].astype(np.uint64) << np.uint64(32)) | (rank[at + step] + 1).astype(np.uint64)
         o = np.argsort(both)
         at, both = at[o], both[o]
         sa[slots] = at

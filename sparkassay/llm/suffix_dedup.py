@@ -136,10 +136,12 @@ class Shard:
 
     def by_bucket(self, kind: str, shard: int, keys: np.ndarray, data: np.ndarray, docs: np.ndarray | None) -> Iterator[tuple]:
         """One row for each bucket (the high half of sorted ``keys``) that has entries."""
+        if not len(keys):
+            return
         bucket = (keys >> np.uint64(32)).astype(np.int64) if kind in "gm" else (keys % self.buckets).astype(np.int64)
         o = np.argsort(bucket, kind="stable")
         bucket = bucket[o]
-        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
+        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         for a, b in zip(at, np.append(at[1:], len(bucket)), strict=True):
             part = o[a:b]
             yield kind, int(bucket[a]), shard, data[part].tobytes(), docs[part].tobytes() if docs is not None else None
@@ -306,7 +308,8 @@ def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         every, ids = np.concatenate(lists), np.concatenate(docs)
         o = np.lexsort((ids, every))
         every, ids = every[o], ids[o]
-        first = np.concatenate([[True], every[1:] != every[:-1]])
+        first = np.ones(len(every), bool)
+        first[1:] = every[1:] != every[:-1]
         keys, least = every[first], ids[first]
         bits = [d > least[np.searchsorted(keys, x)] for x, d in zip(lists, docs, strict=True)]
     return _frame([(kind, b, s, np.packbits(x).tobytes(), None) for b, s, x in zip(pdf.bucket, pdf.shard, bits, strict=True)])
