@@ -71,10 +71,16 @@ def read_notation(text: str | None) -> tuple:
     return (True, elements, len(elements), n_rings, fragments, sum(charges), max(map(abs, charges)), isotope, aromatic)
 
 
-@F.pandas_udf(FACTS)
-def notation_facts(text: pd.Series) -> pd.DataFrame:
+def _facts(text: pd.Series) -> pd.DataFrame:
     names = [part.split()[0] for part in FACTS.split(", ")]
-    return pd.DataFrame([read_notation(t) for t in text], columns=names).astype({"n_atoms": "Int32", "n_rings": "Int32", "n_fragments": "Int32", "net_charge": "Int32", "max_charge": "Int32", "n_aromatic": "Int32"})
+    whole = [n for n in names if n.startswith(("n_", "net_", "max_"))]
+    return pd.DataFrame([read_notation(t) for t in text], columns=names).astype(dict.fromkeys(whole, "Int32"))
+
+
+def notation_facts(text: str | Column) -> Column:
+    """A struct of FACTS; needs a running session, as its schema is parsed there."""
+    _facts.__annotations__ = {"text": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(_facts, FACTS)(text)
 
 
 def rejection_checks(facts: str, allowed: tuple[str, ...] = ELEMENTS) -> list[tuple[str, Column]]:

@@ -50,7 +50,7 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def json_map(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of files that hold one object of strings."""
-    one = spark.read.option("wholetext", True).text(path)
+    one = spark.read.text(path, wholetext=True)
     return one.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
 
 
@@ -93,7 +93,7 @@ def structure_records(spark: SparkSession, path: str) -> DataFrame:
 
 def xyz_structures(spark: SparkSession, path: str) -> DataFrame:
     """(file, title, atoms) of files that hold one structure: count, title, then element and coordinates."""
-    one = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("l"))
+    one = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("l"))
     n = F.trim(F.get("l", F.lit(0))).try_cast("int")
     part = lambda s, i: F.get(F.split(F.trim(s), r"\s+"), F.lit(i))
     atoms = F.transform(F.slice("l", 3, n), lambda s: F.struct(part(s, 0).alias("element"), *(part(s, i + 1).try_cast("double").alias(c) for i, c in enumerate("xyz"))))
