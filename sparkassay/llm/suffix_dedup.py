@@ -46,7 +46,7 @@ from sparkassay.llm.suffix import DEPTH, substring_classes
 
 GRAM = 20
 SPAN = DEPTH - GRAM + 1
-PIECE = 1 << 20
+PIECE = 1 << 17
 NO_ID = np.iinfo(np.int64).max
 LOW = np.uint64(0xFFFFFFFF)
 ROWS = "kind string, bucket int, shard int, data binary, docs binary"
@@ -196,10 +196,11 @@ def local_repeats(shard: Shard) -> np.ndarray:
     offset = np.concatenate([[0], np.cumsum(seg_hi - seg_lo)])[:-1]
     seg = np.searchsorted(at, run, "right") - 1
     mine = classes[place - seg_lo[seg] + offset[seg]]
-    # documents stand in id order, so a class's first string is its smallest id's
-    _, first, back = np.unique(mine, return_index=True, return_inverse=True)
+    # documents stand in id order, so a class's first string is its smallest id's: written last, it stays
     ids = shard.ids[shard.doc[run]]
-    return ids > ids[first][back]
+    least = np.empty(len(classes) + 1, np.int64)
+    least[mine[::-1]] = ids[::-1]
+    return ids > least[mine]
 
 
 def contexts(shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
