@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +70,6 @@ def kabsch(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]
 
 def aligned_rmsd(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """(key, rmsd) of two arrays of points after rigid alignment; Arrow batches, a row at a time."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def rmsd(x: pd.Series, y: pd.Series) -> pd.Series:
         points = lambda v: np.array([list(p) for p in v], dtype=float)

@@ -80,3 +80,53 @@ def upsert_batch(path: str, key: list[str], order: str):
         replace_table(latest, path, backup=False)
 
     return write
+
+
+def log_stream(spark: SparkSession, path: str, units: dict[str, str]) -> DataFrame:
+    """Records of a growing folder of logs: (file, name, key, value, ok); for last_value or upsert_batch."""
+    from sparkassay.functions.text import log_records
+
+    lines = spark.readStream.text(path).select(F.input_file_name().alias("line_no"), "value")
+    return log_records(lines, units).withColumnRenamed("line_no", "file")
+
+
+CARRY = T.StructType([T.StructField("held", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("batch", T.LongType())])
+
+
+def lookahead_batches(rows: DataFrame, key: str, ident: str, size: str, budget: int, window: int = 800) -> DataFrame:
+    """(key, batch, ident): rows grouped so that rows * (largest size)**2 stays within ``budget``.
+
+    A window of rows is held; the largest and those nearest in size leave together,
+    the others are carried over.  Each row leaves exactly once; one that alone is
+    over the budget leaves alone.  Less than a window stays held until more arrives
+    or, in a batch query, until the end.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, sizes, batch = state.get if state.exists else ([], [], 0)
+        pool = list(zip(sizes, held, strict=True))
+        for part in parts:
+            pool += list(zip(part[size].astype("int64"), part[ident].astype("int64"), strict=True))
+        out, batch = take_batches(pool, budget, window, int(batch))
+        state.update(([int(i) for _, i in pool], [int(s) for s, _ in pool], batch))
+        yield pd.DataFrame(out, columns=["batch", ident]).assign(**{key: name[0]})[[key, "batch", ident]].astype({"batch": "int64", ident: "int64"})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, ident, size).groupBy(key).applyInPandasWithState(
+        step, f"`{key}` {kind}, batch long, `{ident}` long", CARRY, "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def take_batches(pool: list[tuple[int, int]], budget: int, window: int, batch: int, drain: bool = False) -> tuple[list[tuple[int, int]], int]:
+    """Take whole batches out of ``pool`` (size, id), which keeps what is carried over."""
+    out: list[tuple[int, int]] = []
+    while pool and (drain or len(pool) >= window):
+        view = sorted(pool[:window], reverse=True)
+        n = max(1, budget // max(1, view[0][0] ** 2))
+        taken = view[:n]
+        gone = set(taken)
+        pool[:] = [x for x in pool if x not in gone]
+        out += [(batch, i) for _, i in taken]
+        batch += 1
+    return out, batch
