@@ -7,7 +7,7 @@ hidden layer reads that vector; mean and maximum over all chunks of the document
 feed one logistic output.
 
 Fitting is bounded: at most ``max_docs`` labelled documents (chosen by hash) and
-``doc_chunks`` evenly spaced chunks of each reach the driver, about 8 MB, whatever
+``doc_chunks`` evenly spaced chunks of each reach the driver, about 32 MB, whatever
 the size of the tables.  Scoring reads every byte of every document and runs in
 Arrow batches; memory is one batch and one block of chunks.
 
@@ -129,7 +129,7 @@ class Network:
         g["conv"], g["embed"] = conv, demb
         return g
 
-    def fit(self, chunks: list[np.ndarray], y: np.ndarray, steps: int = 400, batch: int = 32, rate: float = 4e-3, seed: int = 5) -> Network:
+    def fit(self, chunks: list[np.ndarray], y: np.ndarray, steps: int = 1000, batch: int = 32, rate: float = 4e-3, seed: int = 5) -> Network:
         """Adam on batches that hold both classes in equal numbers; weights undo most of that."""
         r = np.random.default_rng(seed)
         classes = [np.flatnonzero(y == 0), np.flatnonzero(y == 1)]
@@ -217,7 +217,7 @@ def classify_quality(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
-    max_docs: int = 2000,
+    max_docs: int = 4000,
     doc_chunks: int = 8,
     threshold: float = THRESHOLD,
     keep_text: bool = True,

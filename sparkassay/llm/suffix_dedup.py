@@ -1,7 +1,7 @@
 """Removal of repeated 50-byte substrings: suffix arrays per shard, merged across shards by binary search.
 
 A byte goes if a 50-byte string that covers it also starts in a document with a
-smaller id.  Documents are dealt by id to shards of about ``shard_bytes``, stored
+smaller id.  Documents are dealt by id to shards of about ``shard_bytes`` (``best_shard``), stored
 once as a table bucketed by shard; every later pass reads a shard in one task.
 
 Only places that can matter are sorted.  Each 50-byte string names one of its
@@ -324,15 +324,25 @@ def _found(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_keys[at] == x
 
 
+def best_shard(total: int) -> int:
+    """Bytes of a shard: 4 MB up to 256 GB of text, then growing with its root up to 64 MB at 64 TB.
+
+    Every shard has something for nearly every bucket, so small shards of a large
+    corpus would send rows of a few bytes.  A shard needs about 60 times its
+    repeated text in memory.
+    """
+    return int(min(64 << 20, max(4 << 20, (4 << 20) * (total / (256 << 30)) ** 0.5)))
+
+
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 4 << 20, keep_text: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int | None = None, keep_text: bool = True
 ) -> DataFrame:
     """``id_col``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``spans`` (start, stop, ...) and ``kept`` bytes."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-dedup")
     one = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     total = one.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    shards = max(1, -(-total // (shard_bytes or best_shard(total))))
     files, buckets = min(shards, 20_000), max(1, -(-shards // 4))
     # rows that share an id share a shard; rows without one are dealt by their text
     number = F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.xxhash64("text"))), F.lit(shards)).cast("int")
