@@ -184,3 +184,27 @@ def multinomial_draw(spark, sf_dir):
     draws = table(spark, sf_dir, "customer").select("c_custkey")
     u = F.conv(F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
     return stats.multinomial_draw(hist, draws, "value", "n", u)
+
+
+@query(
+    "large_group_quantiles",
+    """SELECT l_returnflag, count(l_extendedprice) AS n, round(quantile_cont(l_extendedprice, 0.05), 6) AS q05, round(quantile_cont(l_extendedprice, 0.5), 6) AS q50,
+    round(quantile_cont(l_extendedprice, 0.95), 6) AS q95 FROM lineitem GROUP BY 1""",
+)
+def large_group_quantiles(spark, sf_dir):
+    from sparkassay.operators.quantiles import exact_quantiles
+
+    q = exact_quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.05, 0.5, 0.95])
+    return q.select("l_returnflag", "n", *(F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("q05", "q50", "q95"))))
+
+
+@query(
+    "large_group_bounds",
+    """WITH m AS (SELECT l_returnflag g, median(l_quantity) med FROM lineitem GROUP BY 1)
+    SELECT g AS l_returnflag, med, round(1.4826 * median(abs(l_quantity - med)), 6) AS sigma, round(med - 6 * 1.4826 * median(abs(l_quantity - med)), 6) AS lo,
+    round(med + 6 * 1.4826 * median(abs(l_quantity - med)), 6) AS hi FROM lineitem JOIN m ON g = l_returnflag GROUP BY g, med""",
+)
+def large_group_bounds(spark, sf_dir):
+    from sparkassay.operators.quantiles import robust_bounds_large
+
+    return rounded(robust_bounds_large(table(spark, sf_dir, "lineitem"), "l_quantity", ["l_returnflag"]))
