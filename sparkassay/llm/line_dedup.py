@@ -34,6 +34,7 @@ KEY_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+BUCKET_LINES = 50_000
 HASHES = ("__ld_h1", "__ld_h2")
 
 
@@ -48,9 +49,9 @@ def text_lines(text: Column) -> Column:
 class LineRuns:
     """The levelled runs: ``absent`` merge-anti-joins, ``add`` appends and compacts."""
 
-    def __init__(self, scratch: Scratch, fanout: int = 3):
+    def __init__(self, scratch: Scratch, fanout: int = 3, buckets: int | None = None):
         self.scratch, self.spark, self.fanout = scratch, scratch.spark, fanout
-        self.buckets = partitions(scratch.spark)
+        self.buckets = buckets or partitions(scratch.spark)
         self.levels: list[list[DataFrame]] = []
 
     def runs(self) -> list[DataFrame]:
@@ -108,10 +109,11 @@ def dedup_lines(
 ) -> DataFrame:
     """All input rows and columns, plus ``kept_text``, ``n_lines`` and ``n_dropped``."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    runs = LineRuns(scratch, fanout)
+    runs = None
     ident, text = F.col(id_col), F.col(text_col)
     result = None
-    for lo, hi in batch_bounds(docs, id_col, batches):
+    bounds = batch_bounds(docs, id_col, batches)
+    for lo, hi in bounds:
         part = docs
         if lo is not None:
             part = part.where((ident >= lo) if hi is not None else ((ident >= lo) | ident.isNull()))
@@ -127,6 +129,10 @@ def dedup_lines(
             )
         )
         lines = scratch.cut(lines, "lines")
+        if runs is None:
+            # all runs share one bucketing: a bucket for every BUCKET_LINES, at most one a shuffle partition
+            expected = lines.count() * len(bounds)
+            runs = LineRuns(scratch, fanout, min(partitions(docs.sparkSession), max(4, -(-expected // BUCKET_LINES))))
         keys = lines.groupBy(*HASHES).agg(F.min("__ld_id").alias("__ld_first"))
         run = runs.add(runs.absent(keys))
         held = run.select(*(F.col(h).alias(h + "r") for h in HASHES), "__ld_first")
