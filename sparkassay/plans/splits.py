@@ -85,7 +85,7 @@ def knn_residual(spark, sf_dir):
     return rounded(similarity.knn_residual(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label"))
 
 
-@query("mean_similarity", "SELECT a.vec_id AS query, round(avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS mean_sim FROM embeddings a, embeddings b GROUP BY 1")
+@query("mean_similarity", "SELECT a.vec_id AS query, round(avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) + 0.0::DOUBLE AS mean_sim FROM embeddings a, embeddings b GROUP BY 1")
 def mean_similarity(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return rounded(similarity.mean_similarity(e, e, "vec_id", "embedding"))
@@ -140,7 +140,7 @@ def label_clusters(spark, sf_dir):
     mean = e.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
     rows = mean.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x")).select("label", F.transform("x", lambda s: s["v"]).alias("x"))
     sizes = dict(split.group_sizes(table(spark, sf_dir, "embeddings").select("label"), "label"))
-    got = sorted(rows.collect(), key=lambda r: r.label)
+    got = sorted(split.bounded(rows, split.MAX_GROUPS, "clusters"), key=lambda r: r.label)
     x = np.array([r.x for r in got])
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     return [r.label for r in got], x, np.array([sizes[r.label] for r in got], float), 1 - unit @ unit.T
@@ -149,10 +149,8 @@ def label_clusters(spark, sf_dir):
 @query("butina")
 def butina(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    ids = [r[0] for r in e.select("vec_id").distinct().limit(split.MAX_GROUPS + 1).collect()]
-    if len(ids) > split.MAX_GROUPS:
-        raise ValueError("cluster representatives, not rows")
-    pairs = [(r.a, r.b) for r in similarity.similar_pairs(e, "vec_id", "embedding", 0.35).collect()]
+    ids = [r[0] for r in split.bounded(e.select("vec_id").distinct(), split.MAX_GROUPS, "representatives")]
+    pairs = [(r.a, r.b) for r in split.bounded(similarity.similar_pairs(e, "vec_id", "embedding", 0.35), split.MAX_PAIRS, "similar pairs")]
     return split.assign(e.select("vec_id", "label"), "vec_id", split.butina(sorted(ids), pairs), "centroid")
 
 
