@@ -56,6 +56,11 @@ OUT_WORDS = frozenset(
     "sponsor sponsored subscribe subscription tags toolbar topbar widget widgets complementary contentinfo alert alertdialog "
     "navigation outbrain taboola teaser login signup signin feedback disclaimer".split()
 )
+#: Names that end an article's reach for good, and first parts that say a word is about the layout around it.
+READER_WORDS = frozenset("comment comments commentlist disqus reply replies respond feedback".split())
+LAYOUT_WORDS = frozenset("has with no without is not show hide".split())
+#: Names that inside an article mark parts of it.
+ARTICLE_PARTS = frozenset("header masthead".split())
 #: Common words of the four languages of the corpora.
 STOP_WORDS = frozenset(
     "a an and are as at be by for from in is it of on or that the this to was were with "
@@ -67,6 +72,7 @@ STOP_WORDS = frozenset(
 LONG_CHARS, SHORT_CHARS = 140, 60
 MIN_STOPS, MAX_LINKS = 0.08, 0.4
 IN, OUT, AMBIGUOUS = 1, -1, 0
+FREE, SOFT, HARD = 0, 1, 2
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|"
@@ -77,41 +83,49 @@ ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 WORDS = re.compile(r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*")
 PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 SPACE = re.compile(r"\s+")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Block(NamedTuple):
     text: str
     links: int  # characters inside links
     tag: str
-    out: bool  # an enclosing element is outside the article
+    out: bool  # an enclosing element is outside the article, SOFT or HARD
     section: int  # number of the enclosing article or main, 0 for none
 
 
-def _named_out(attrs: str) -> bool:
-    """Whether class, id, role or hidden put an element outside the article."""
+def _named_out(attrs: str, inside: bool) -> int:
+    """What class, id, role, style and hidden say of an element: FREE, SOFT (outside the article) or HARD (for good)."""
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False
+        return FREE
+    out = FREE
     for name, a, b, c in ATTR.findall(attrs):
         name = name.lower()
         value = a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return HARD
+        if name == "style" and HIDDEN.search(value):
+            return HARD
         if name in ("class", "id", "role", "aria-label", "data-role"):
             for word in WORDS.findall(value.replace("_", "-")):
-                if word.lower() in OUT_WORDS:
-                    return True
-                if any(part.lower() in OUT_WORDS for piece in word.split("-") for part in PARTS.findall(piece)):
-                    return True
-    return False
+                pieces = word.split("-")
+                if len(pieces) > 1 and pieces[0].lower() in LAYOUT_WORDS:
+                    continue
+                parts = {word.lower(), *(p.lower() for piece in pieces for p in (piece, *PARTS.findall(piece)))}
+                if inside:
+                    parts -= ARTICLE_PARTS
+                if parts & READER_WORDS:
+                    return HARD
+                if parts & OUT_WORDS:
+                    out = SOFT
+    return out
 
 
 def read_blocks(page: str) -> list[Block]:
     """Blocks of text in page order."""
     blocks: list[Block] = []
     # an open element: tag, out, section, link
-    stack: list[tuple[str, bool, int, bool]] = []
+    stack: list[tuple[str, int, int, bool]] = []
     text: list[str] = []
     links = sections = 0
     where = ("", False, 0)
@@ -130,9 +144,9 @@ def read_blocks(page: str) -> list[Block]:
         if not text:
             if raw.isspace():
                 return
-            top = stack[-1] if stack else ("", False, 0, False)
+            top = stack[-1] if stack else ("", FREE, 0, False)
             tag = next((t for t, *_ in reversed(stack) if t in BLOCK_TAGS), "")
-            where = (tag, top[1], top[2])
+            where = (tag, top[1] > FREE, top[2])
         text.append(raw)
         if stack and stack[-1][3]:
             links += len(raw.strip())
@@ -198,15 +212,18 @@ def read_blocks(page: str) -> list[Block]:
                         break
         if attrs.rstrip().endswith("/") and tag not in BLOCK_TAGS:
             continue
-        _, out, section, link = stack[-1] if stack else ("", False, 0, False)
-        if tag in CONTENT_TAGS and not out:
+        _, out, section, link = stack[-1] if stack else ("", FREE, 0, False)
+        if tag in CONTENT_TAGS and out < HARD:
+            # an article counts even in a wrapper that is named for what stands beside it
             if not section:
                 sections += 1
-                section = sections
+                section, out = sections, FREE
             if _commentlike(attrs):
-                out = True
-        elif tag in OUT_TAGS or tag == "header" and not section or tag not in ("html", "body") and _named_out(attrs):
-            out = True
+                out = HARD
+        elif tag in OUT_TAGS or tag == "header" and not section:
+            out = HARD
+        elif tag not in ("html", "body"):
+            out = max(out, _named_out(attrs, section > 0))
         stack.append((tag, out, section, link or tag == "a"))
     flush()
     return blocks

@@ -24,6 +24,13 @@ def test_pages_without_article_element():
     assert main_text(page) == "\n\n".join(["Head", LONG, "Short.", LONG])
 
 
+def test_names_of_wrappers_and_parts():
+    wrapped = f'<body><div class="layout has-sidebar page_with_ads"><div class="main-sidebar"><article class="post"><div class="entry-header"><h1>Head</h1></div><p>{LONG}</p>'
+    wrapped += f'<div class="post-comments"><article><p>{LONG}</p></article></div><div class="newsletter"><p>{LONG}</p></div></article></div></div></body>'
+    assert main_text(wrapped) == f"Head\n\n{LONG}"
+    assert main_text(f'<article><p hidden>{LONG}</p><p style="display: none">no</p><p>yes</p></article>') == "yes"
+
+
 def test_broken_markup_and_plain_text():
     assert main_text(None) == main_text("") == main_text("<p></p>") == ""
     assert main_text("only text") == "only text"
