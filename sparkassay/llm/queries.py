@@ -117,6 +117,20 @@ def op6_minhash_dedup(spark, sf_dir):
 
 
 QUERIES["op6_minhash_dedup"] = op6_minhash_dedup
+ORACLES["op6_minhash_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 5 THEN [array_to_string(a, ' ')]
+        ELSE list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(node, far) AS (SELECT x, y FROM e UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.far),
+m AS (SELECT node, min(far) AS least FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(m.least, d.doc_id), d.doc_id) AS component_id, coalesce(least(m.least, d.doc_id), d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id
+"""
 
 
 def op8_decontaminate(spark, sf_dir):
@@ -200,3 +214,16 @@ def op7_suffix_dedup(spark, sf_dir):
 
 
 QUERIES["op7_suffix_dedup"] = op7_suffix_dedup
+ORACLES["op7_suffix_dedup"] = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, unnest(range(len(x) // 2 - 49)) AS i, unnest(list_transform(range(len(x) // 2 - 49), lambda i: substr(x, 2 * i + 1, 100))) AS w FROM h WHERE len(x) >= 100),
+f AS (SELECT w, min(doc_id) AS least FROM p GROUP BY w),
+g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM p JOIN f USING (w) WHERE least < doc_id),
+k AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+s AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY 1, 2),
+t AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS last FROM s),
+q AS (SELECT t.doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed,
+        string_agg(substr(x, 2 * from_ + 1, 2 * (a - from_)) || CASE WHEN last THEN substr(x, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM t JOIN h USING (doc_id) GROUP BY 1)
+SELECT h.doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM h LEFT JOIN q USING (doc_id)
+"""
