@@ -1,23 +1,28 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare words as seeds, then Smith-Waterman alignment.
 
 The benchmark is the stated query set; it is taken in blocks of at most
-``block_grams`` n-grams, so what a block sends to the tasks has a proven bound and
+``block_grams`` words, so what a block sends to the tasks has a proven bound and
 a benchmark of any size works.  For a block:
 
-1. One pass over all texts counts in how many documents each of the block's
-   n-grams stands; tasks send one count an n-gram and batch.
-2. Each item keeps its rarest n-grams as seeds: the rarer half by document count,
-   at least ``MIN_SEEDS`` of them.  Rarity is relative to the item, so an item that
-   leaked into a third of all documents keeps seeds too.
-3. A second pass finds the seeds in every text.  Around the places where an item's
-   seeds fall, words are aligned with the item by Smith-Waterman (match 2, mismatch
-   and gap -1).  The score is the best local score over that of a full copy.
+1. One pass over all texts counts in how many documents each of the block's words
+   stands; tasks send one count a word and batch.
+2. Each item leaves out its most common words, as many as fill a quarter of the
+   score it needs; all others are seeds, so an item that leaked into a third of all
+   documents keeps seeds too.
+3. A second pass finds the seeds in every text.  A run of text words scores at most
+   2 for each that stands in the item and -1 for each other one, and the words left
+   out add at most 3 each, so only items whose seeds reach the rest of the score are
+   looked at, and of the text only what can be part of a run that reaches all of it
+   with each word matched no more often than the item has it.
+   There words are aligned with the item by Smith-Waterman (match 2, mismatch and
+   gap -1).  The score is the best local score over that of a full copy.
 
 Pairs with a score of at least ``threshold`` are reported, one row for each text
-row and item.  Nothing is shuffled but counts.
+row and item.  The bounds hold for every alignment, so no such pair is missed.
+Nothing is shuffled but counts.
 
 Defined results: null or empty texts and items without words match nothing; items
-with fewer words than an n-gram are one shorter seed; rows that share an id are
+of fewer than ``WHOLE`` words must stand whole; rows that share an id are
 aligned apart and reported apart, equal rows once each; an empty benchmark gives
 no rows; items that share an id are aligned apart and the best one is reported.
 """
@@ -31,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkassay.llm._words import gram_hashes, pieces, word_hashes
+from sparkassay.llm._words import pieces, word_hashes
 
-GRAM, MIN_SEEDS = 3, 8
+WHOLE, LEFT_OUT, PLACES = 3, 4, 1 << 21
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 SCHEMA = "score double, first_word long, last_word long, item_words long"
@@ -46,11 +51,6 @@ def plain_words(text: str | None) -> np.ndarray:
     return word_hashes([(text or "").encode("utf-8", "surrogatepass").translate(PLAIN)])[0]
 
 
-def grams(words: np.ndarray) -> np.ndarray:
-    n = min(GRAM, len(words))
-    return gram_hashes(words, n) if n else words
-
-
 class Filter:
     """Which hashes are in a fixed set: a bit table first, then binary search."""
 
@@ -94,58 +94,71 @@ def texts_words(texts: list) -> Iterator[tuple[int, np.ndarray]]:
             yield first + i, hashes[edges[i] : edges[i + 1]]
 
 
-def _text_grams(words: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
-    """All n-grams of the sizes that the block's items have, one after the other."""
-    return np.concatenate([gram_hashes(words, n) if len(words) >= n else words[:0] for n in sizes])
-
-
-def rare_seeds(block: list[tuple[int, np.ndarray]], known: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Seed hashes (sorted) and, for each, the (item number, place) that has it."""
-    where: dict[int, list[tuple[int, int]]] = {}
-    for number, (_, words) in enumerate(block):
-        g = grams(words)
-        if not len(g):
-            continue
-        df = counts[np.searchsorted(known, g)]
-        keep = max(MIN_SEEDS, -(-len(g) // 2))
-        for place in np.lexsort((np.arange(len(g)), df))[:keep]:
-            where.setdefault(int(g[place]), []).append((number, int(place)))
-    return np.array(sorted(where), np.uint64), where
-
-
-def find_leaks(words: np.ndarray, block, sizes, seeds: Filter, where: dict, threshold: float) -> list[tuple]:
+class Seeds:
+    """A block's words, which of them are seeds of which items, and the score each item needs."""
+
+    def __init__(self, block: list[tuple[int, np.ndarray]], words: Filter, counts: np.ndarray, threshold: float):
+        self.block, self.words = block, words
+        sizes = np.array([len(w) for _, w in block], np.int64)
+        self.need = np.where(sizes < WHOLE, 1.0, threshold) * (MATCH * sizes)
+        self.reach = int(3 * sizes.max())  # no alignment has more text words
+        self.rest = self.need.copy()  # what the seeds must bring
+        of_word, of_item = [], []
+        for number, (_, item) in enumerate(block):
+            own, times = np.unique(np.searchsorted(words.wanted, item), return_counts=True)
+            o = np.argsort(-counts[own], kind="stable")
+            total = np.cumsum(times[o])
+            out = int(np.searchsorted(total, self.need[number] // LEFT_OUT, "right"))
+            self.rest[number] -= 3 * (total[out - 1] if out else 0)
+            of_word.append(own[o[out:]])
+            of_item.append(np.full(len(own) - out, number, np.int64))
+        of_word, of_item = np.concatenate(of_word), np.concatenate(of_item)
+        self.items = of_item[np.argsort(of_word, kind="stable")]
+        self.edges = np.concatenate([[0], np.cumsum(np.bincount(of_word, minlength=len(words.wanted)))])
+
+    def candidates(self, at: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Items that can align, from the places (ascending) of the block's words in a text."""
+        many = self.edges[which + 1] - self.edges[which]
+        if (total := int(many.sum())) == 0:
+            return self.items[:0]
+        lo, hi = int(at[0]), int(at[-1]) + 1
+        if total > PLACES and hi - lo > 4 * self.reach:
+            mid = (lo + hi) // 2
+            l, r = np.searchsorted(at, [mid, mid + self.reach])
+            return np.union1d(self.candidates(at[:r], which[:r]), self.candidates(at[l:], which[l:]))
+        first = np.cumsum(many) - many
+        item = self.items[np.arange(total) + np.repeat(self.edges[which] - first, many)]
+        item, place = np.divmod(np.sort(item * hi + np.repeat(at, many)), hi)
+        # 3 a seed less 1 a word, best run that ends at each seed; every item begins below all before it
+        height = 3 * np.arange(total) - place - item * (3 * total + hi)
+        best = height - np.minimum.accumulate(height) + 2
+        return np.unique(item[best >= self.rest[item]])
+
+
+def find_leaks(words: np.ndarray, seeds: Seeds) -> list[tuple]:
     """(item id, score, first word, last word, item words) of one text."""
-    at, which = seeds.find(_text_grams(words, sizes))
-    if not len(at):
-        return []
-    # a place in the concatenated n-grams of all sizes is a word of the text
-    offset = 0
-    word = np.empty(len(at), np.int64)
-    for n in sizes:
-        m = max(0, len(words) - n + 1)
-        inside = (at >= offset) & (at < offset + m)
-        word[inside] = at[inside] - offset
-        offset += m
-    hits: dict[int, list[int]] = {}
-    for p, w in zip(word.tolist(), which.tolist(), strict=True):
-        for number, place in where[int(seeds.wanted[w])]:
-            hits.setdefault(number, []).append(p - place)
+    at, which = seeds.words.find(words)
     found: dict[int, tuple] = {}
-    for number, starts in hits.items():
-        item_id, item = block[number]
-        m = len(item)
+    for number in seeds.candidates(at, which).tolist():
+        item_id, item = seeds.block[number]
+        m, need = len(item), seeds.need[number]
         full = MATCH * m
-        starts.sort()
-        spans: list[list[int]] = []
-        for s in starts:
-            lo, hi = max(0, s - m), min(len(words), s + 2 * m)
-            if spans and lo <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], hi)
-            else:
-                spans.append([lo, hi])
-        for lo, hi in spans:
+        own, times = np.unique(np.searchsorted(seeds.words.wanted, item), return_counts=True)
+        places = at[hit := np.isin(which, own)]
+        kinds = np.searchsorted(own, which[hit])
+        sums = np.full(len(words) + 1, MISMATCH, np.int64)
+        sums[0] = 0
+        sums[places + 1] = MATCH
+        sums = np.cumsum(sums)
+        after = np.maximum.accumulate(sums[:0:-1])[::-1]
+        can = np.concatenate([[False], after - np.minimum.accumulate(sums[:-1]) >= need, [False]])
+        for lo, hi in np.flatnonzero(can[1:] != can[:-1]).reshape(-1, 2).tolist():
+            l, r = np.searchsorted(places, [lo, hi])
+            # a word is matched at most as often as it stands in the item
+            if MATCH * np.minimum(np.bincount(kinds[l:r], minlength=len(own)), times).sum() < need:
+                continue
             score, end = align(item, words[lo:hi])
-            if score >= threshold * full:
+            if score >= need:
                 back, first = align(item[::-1], words[lo : lo + end + 1][::-1])
                 row = (item_id, score / full, lo + end - first, lo + end, m)
                 if item_id not in found or row[1] > found[item_id][1]:
@@ -188,14 +201,11 @@ def drop_contaminated(
     texts, schema = docs.select(docs[text_col].alias("text")), docs.schema
     at = docs.columns.index(text_col)
     for block in benchmark_blocks(benchmark, item_col, item_text, block_grams):
-        sizes, seeds, where = _choose_seeds(texts, block)
+        seeds = _choose_seeds(texts, block, threshold)
 
-        def clean(batches: Iterator[pa.RecordBatch], block=block, sizes=sizes, seeds=seeds, where=where) -> Iterator[pa.RecordBatch]:
+        def clean(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                keep = [
-                    i for i, words in texts_words(b.column(at).to_pylist())
-                    if not find_leaks(words, block, sizes, seeds, where, threshold)
-                ]
+                keep = [i for i, words in texts_words(b.column(at).to_pylist()) if not find_leaks(words, seeds)]
                 yield b.take(pa.array(keep, pa.int64()))
 
         docs = docs.mapInArrow(clean, schema)
@@ -220,34 +230,32 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, item_text: str, limit:
         yield held
 
 
-def _choose_seeds(texts: DataFrame, block) -> tuple[tuple[int, ...], Filter, dict]:
-    """n-gram sizes, seeds and where they stand, from document counts over all texts."""
-    sizes = tuple(sorted({min(GRAM, len(w)) for _, w in block}))
-    wanted = Filter(np.concatenate([grams(w) for _, w in block]))
+def _choose_seeds(texts: DataFrame, block, threshold: float) -> Seeds:
+    """The block's seeds, from document counts over all texts."""
+    wanted = Filter(np.concatenate([w for _, w in block]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(wanted.wanted), np.int64)
         for b in batches:
             for _, words in texts_words(b.column(0).to_pylist()):
-                total[np.unique(wanted.find(_text_grams(words, sizes))[1])] += 1
+                total[np.unique(wanted.find(words)[1])] += 1
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["g", "n"])
 
     df = np.zeros(len(wanted.wanted), np.int64)
     for r in texts.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():
         df[r.g] = r.n
-    chosen, where = rare_seeds(block, wanted.wanted, df)
-    return sizes, Filter(chosen), where
+    return Seeds(block, wanted, df, threshold)
 
 
 def _scan_block(texts: DataFrame, block, schema: str, threshold: float) -> DataFrame:
-    sizes, seeds, where = _choose_seeds(texts, block)
+    seeds = _choose_seeds(texts, block, threshold)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, take = [], []
             for i, words in texts_words(b.column(1).to_pylist()):
-                got = find_leaks(words, block, sizes, seeds, where, threshold)
+                got = find_leaks(words, seeds)
                 rows += got
                 take += [i] * len(got)
             at = pa.array(take, pa.int64())

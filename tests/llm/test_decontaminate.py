@@ -71,3 +71,66 @@ def test_odd_rows(llm, odd_docs, no_docs):
     assert find_contamination(odd_docs, bench.where("false")).count() == 0
     kept = drop_contaminated(odd_docs, bench)
     assert kept.columns == odd_docs.columns and {r.doc_id for r in kept.collect()} == {3, 4, 5, 6, 8}
+
+
+def edited_copies():
+    """Copies with 10 to 33 % of words replaced, halves, words put in, words left out, among common words."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(1500)]
+    usual = ["the", "of", "and", "to", "in", "a", "is", "that"]
+
+    def prose(n):
+        return [rng.choice(usual) if rng.random() < 0.4 else rng.choice(words) for _ in range(n)]
+
+    items = [prose(rng.randint(3, 50)) for _ in range(24)] + [["alone"], ["two", "words"]]
+    docs = []
+    for i in range(240):
+        item = rng.choice(items)
+        copy = list(item)
+        if i % 4 == 0:
+            share = rng.choice([0.1, 0.2, 0.25, 0.33])
+            copy = [rng.choice(words) if rng.random() < share else w for w in copy]
+        elif i % 4 == 1:
+            at = rng.randint(0, len(copy) // 2)
+            copy = copy[at : at + (len(copy) + 1) // 2]
+        elif i % 4 == 2:
+            every = rng.randint(1, 3)
+            copy = [x for j, w in enumerate(copy) for x in ([w, rng.choice(words)] if j % every == 0 else [w])]
+        else:
+            copy = [w for w in copy if rng.random() > 0.25]
+        text = prose(rng.randint(0, 200))
+        at = rng.randint(0, len(text))
+        text[at:at] = copy
+        docs.append((i, " ".join(text)))
+    return docs, [(i, " ".join(w)) for i, w in enumerate(items)]
+
+
+def test_edited_copies_as_without_seeds(llm):
+    docs, items = edited_copies()
+    d, b = llm.createDataFrame(docs, "doc_id long, text string"), llm.createDataFrame(items, "item_id long, text string")
+    for threshold in (0.5, 0.65):
+        want = {}
+        for i, text in docs:
+            for j, item in items:
+                t, w = plain_words(text), plain_words(item)
+                score = align(w, t)[0] / (MATCH * len(w))
+                if score >= (threshold if len(w) > 2 else 1):  # one or two words must stand whole
+                    want[i, j] = score
+        got = {(r.doc_id, r.item_id): r.score for r in find_contamination(d, b, threshold=threshold).collect()}
+        assert got == want
+    assert len(want) > 100
+    left = {r.doc_id for r in drop_contaminated(d, b, threshold=threshold).collect()}
+    assert left == {i for i, _ in docs} - {i for i, _ in want}
+
+
+def test_long_texts_in_parts(monkeypatch):
+    from sparkassay.llm import decontaminate as op
+
+    docs, items = edited_copies()
+    block = [(i, plain_words(t)) for i, t in items]
+    words = plain_words(" ".join(t for _, t in docs))
+    known = op.Filter(np.concatenate([w for _, w in block]))
+    seeds = op.Seeds(block, known, np.bincount(known.find(words)[1], minlength=len(known.wanted)), 0.5)
+    whole = op.find_leaks(words, seeds)
+    monkeypatch.setattr(op, "PLACES", 50)
+    assert op.find_leaks(words, seeds) == whole and len(whole) == len(items)
