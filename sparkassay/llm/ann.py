@@ -10,8 +10,10 @@ its ``NEIGHBOURS`` best.  Rounds end when few lists change.  Vectors travel as o
 byte a component here; they only steer the graph.
 
 Search.  The stated queries meet every shard in blocks: a task holds one shard's
-graph and one block of queries, starts each query at ``ENTRIES`` nodes and at its
-own neighbours, and expands the best ``BEAM`` nodes until none is new.  The best of
+graph and one block of queries and follows edges both ways.  Pivots are chosen so
+that every node is one or next to one, so no part of the graph is without; a query
+starts at its best ``ENTRIES`` pivots and at its own neighbours, and expands the
+best ``BEAM`` nodes until none is new.  The best of
 all shards are scored again on the original vectors in double precision, and the
 copies of a node take their places by id.
 
@@ -203,6 +205,27 @@ class NeighbourGraph:
         return asked.groupBy(*keys).cogroup(graph.groupBy(*(f"g_{c}" for c in keys))).applyInPandas(greedy_search, "query long, node long, sim float")
 
 
+def _both_ways(ids: np.ndarray, near: list) -> tuple[np.ndarray, np.ndarray]:
+    """The shard's edges in both directions: where each node's list begins, and the lists."""
+    n = len(ids)
+    lists = [np.empty(0, np.int64) if v is None else np.asarray(v, np.int64) for v in near]
+    u = np.repeat(np.arange(n), [len(v) for v in lists])
+    v = np.searchsorted(ids, np.concatenate(lists))
+    pairs = np.unique(np.concatenate([u * n + v, v * n + u]))
+    return np.searchsorted(pairs, np.arange(n + 1) * n), pairs % n
+
+
+def _pivots(starts: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """Nodes such that every other one is next to one of them."""
+    covered = np.zeros(len(starts) - 1, bool)
+    out = []
+    for i in range(len(covered)):
+        if not covered[i]:
+            out.append(i)
+            covered[lists[starts[i] : starts[i + 1]]] = True
+    return np.array(out)
+
+
 def greedy_search(asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
     """Beam search of each query over one shard's graph."""
     out: list[tuple] = []
@@ -210,16 +233,16 @@ def greedy_search(asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         graph = graph.sort_values("g_node")
         ids = graph.g_node.to_numpy()
         x = np.frombuffer(b"".join(graph.g_unit), np.float32).reshape(len(ids), -1)
-        near = [np.searchsorted(ids, v) if v is not None else np.empty(0, np.int64) for v in graph.g_near]
-        stride = max(1, len(ids) // ENTRIES)
-        entries = np.arange(0, len(ids), stride)
-        for query, ask in zip(asked["query"], asked["ask"], strict=True):
-            q = np.frombuffer(ask, np.float32)
+        starts, lists = _both_ways(ids, graph.g_near.tolist())
+        pivots = _pivots(starts, lists)
+        asks = np.frombuffer(b"".join(asked["ask"]), np.float32).reshape(len(asked), -1)
+        entries = np.argpartition(-(asks @ x[pivots].T), ENTRIES - 1, 1)[:, :ENTRIES] if len(pivots) > ENTRIES else None
+        for turn, (query, q) in enumerate(zip(asked["query"], asks, strict=True)):
             seen = np.zeros(len(ids), bool)
             own = np.searchsorted(ids, query)
-            fresh = entries
+            fresh = pivots if entries is None else pivots[entries[turn]]
             if own < len(ids) and ids[own] == query:
-                fresh = np.unique(np.concatenate([entries, near[own], [own]]))
+                fresh = np.unique(np.concatenate([fresh, lists[starts[own] : starts[own + 1]], [own]]))
             beam = np.empty(0, np.int64)
             sims = np.empty(0, np.float32)
             done = np.zeros(len(ids), bool)
@@ -232,7 +255,7 @@ def greedy_search(asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
                     beam, sims = beam[top], sims[top]
                 grow = beam[~done[beam]]
                 done[grow] = True
-                fresh = np.unique(np.concatenate([near[i] for i in grow])) if len(grow) else grow
+                fresh = np.unique(np.concatenate([lists[starts[i] : starts[i + 1]] for i in grow])) if len(grow) else grow
                 fresh = fresh[~seen[fresh]]
             top = np.lexsort((ids[beam], -sims))[:FOUND]
             out += [(query, ids[beam[i]], float(sims[i])) for i in top]

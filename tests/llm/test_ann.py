@@ -1,6 +1,7 @@
 import numpy as np
+import pandas as pd
 
-from sparkassay.llm.ann import nearest_neighbours
+from sparkassay.llm.ann import NEIGHBOURS, greedy_search, nearest_neighbours
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -56,3 +57,35 @@ def test_odd_vectors(llm):
     assert got[1][0][2] == 1.0 and got[1][2][2] == -1.0
     empty = llm.createDataFrame([], SCHEMA)
     assert nearest_neighbours(empty, empty.select("vec_id")).count() == 0
+
+
+def shard(x):
+    """One shard's graph as a finished build leaves it: the nearest by bytes, equal ones in any order."""
+    rng = np.random.default_rng(5)
+    u = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    s = np.rint(u * (127 / np.abs(u).max(1))[:, None])
+    s /= np.linalg.norm(s, axis=1)[:, None]
+    sims = s @ s.T + rng.random((len(x), len(x))) * 1e-9
+    np.fill_diagonal(sims, -2)
+    near = list(np.argsort(-sims, 1)[:, :NEIGHBOURS])
+    return pd.DataFrame({"g_node": np.arange(len(x)), "g_unit": [r.tobytes() for r in u], "g_near": near}), u
+
+
+def five_nearest(found, x, asks):
+    """Share of the true five nearest of each query that the shard's answers hold."""
+    hits = 0
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    for query, a in asks.items():
+        far = ((unit - a / np.linalg.norm(a)) ** 2).sum(1)
+        hits += len(set(np.argsort(far, kind="stable")[:5].tolist()) & set(found.node[found["query"] == query]))
+    return hits / 5 / len(asks)
+
+
+def test_groups_apart_are_reached_from_other_shards():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(80, 16))
+    x = (np.repeat(centres, 30, 0) + 0.05 * rng.normal(size=(2400, 16))).astype(np.float32)
+    graph, _ = shard(x)
+    asks = {10_000 + i: c + 0.05 * rng.normal(size=16) for i, c in enumerate(centres)}
+    asked = pd.DataFrame({"query": list(asks), "ask": [(a / np.linalg.norm(a)).astype(np.float32).tobytes() for a in asks.values()]})
+    assert five_nearest(greedy_search(asked, graph), x, asks) > 0.98
