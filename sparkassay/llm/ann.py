@@ -13,7 +13,10 @@ Search.  The stated queries meet every shard in blocks: a task holds one shard's
 graph and one block of queries and follows edges both ways.  Pivots are chosen so
 that every node is one or next to one, so no part of the graph is without; a query
 starts at its best ``ENTRIES`` pivots and at its own neighbours, and expands the
-best ``BEAM`` nodes until none is new.  The best of
+best ``BEAM`` nodes until none is new.  Where the nodes found are so close that bytes
+do not tell them apart, lists of the graph say nothing, and the query is held against
+all nodes of the shard instead.  Nodes rank by squared distance of the unit vectors,
+which does not tie where products do (``sim`` is its negative).  The best of
 all shards are scored again on the original vectors in double precision, and the
 copies of a node take their places by id.
 
@@ -40,6 +43,7 @@ NEIGHBOURS, REVERSE, SENT = 24, 16, 5
 ROUNDS, CHANGED = 12, 0.02
 BEAM, ENTRIES, FOUND = 128, 48, 12
 QUERY_BLOCK = 500
+BLURS, SCAN_BLOCK, SLACK = 25, 64, 1e-5
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +240,9 @@ def greedy_search(asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         starts, lists = _both_ways(ids, graph.g_near.tolist())
         pivots = _pivots(starts, lists)
         asks = np.frombuffer(b"".join(asked["ask"]), np.float32).reshape(len(asked), -1)
+        # squared distance that rounding to bytes adds between two vectors like the query
+        blur = x.shape[1] / 6 * np.square(np.abs(asks).max(1) / 127)
+        dense = []
         entries = np.argpartition(-(asks @ x[pivots].T), ENTRIES - 1, 1)[:, :ENTRIES] if len(pivots) > ENTRIES else None
         for turn, (query, q) in enumerate(zip(asked["query"], asks, strict=True)):
             seen = np.zeros(len(ids), bool)
@@ -257,8 +264,20 @@ def greedy_search(asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
                 done[grow] = True
                 fresh = np.unique(np.concatenate([lists[starts[i] : starts[i + 1]] for i in grow])) if len(grow) else grow
                 fresh = fresh[~seen[fresh]]
-            top = np.lexsort((ids[beam], -sims))[:FOUND]
-            out += [(query, ids[beam[i]], float(sims[i])) for i in top]
+            far = np.square(x[beam] - q).sum(1)
+            top = np.lexsort((ids[beam], far))[:FOUND]
+            if len(top) == FOUND and far[top[-1]] <= BLURS * blur[turn]:
+                dense.append(turn)
+                continue
+            out += [(query, ids[beam[i]], -float(far[i])) for i in top]
+        for turn in range(0, len(dense), SCAN_BLOCK):
+            block = dense[turn : turn + SCAN_BLOCK]
+            for one, sims in zip(block, asks[block] @ x.T, strict=True):
+                # products of near copies tie in floats, differences do not
+                near = np.flatnonzero(sims >= np.partition(sims, -FOUND)[-FOUND] - SLACK)
+                far = np.square(x[near] - asks[one]).sum(1)
+                top = np.lexsort((ids[near], far))[:FOUND]
+                out += [(asked["query"].iloc[one], ids[near[i]], -float(far[i])) for i in top]
     return pd.DataFrame(out, columns=["query", "node", "sim"]).astype({"query": "int64", "node": "int64", "sim": "float32"})
 
 

@@ -89,3 +89,14 @@ def test_groups_apart_are_reached_from_other_shards():
     asks = {10_000 + i: c + 0.05 * rng.normal(size=16) for i, c in enumerate(centres)}
     asked = pd.DataFrame({"query": list(asks), "ask": [(a / np.linalg.norm(a)).astype(np.float32).tobytes() for a in asks.values()]})
     assert five_nearest(greedy_search(asked, graph), x, asks) > 0.98
+
+
+def test_near_copies_that_bytes_do_not_tell_apart():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(3, 32))
+    for noise in (1e-5, 1e-3):
+        x = (np.repeat(centres, 700, 0) + noise * rng.normal(size=(2100, 32))).astype(np.float32)
+        graph, unit = shard(x)
+        asks = {i: x[i].astype(np.float64) for i in range(0, 2100, 50)}
+        asked = pd.DataFrame({"query": list(asks), "ask": [unit[i].tobytes() for i in asks]})
+        assert five_nearest(greedy_search(asked, graph), x, asks) > 0.98
