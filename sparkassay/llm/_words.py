@@ -16,11 +16,13 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 _RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = int(_RNG.integers(1, 2**63, dtype=np.uint64)) | 1
-_INVERSE = pow(_BASE, -1, 2**64)
+_BYTE = [_RNG.integers(1, 2**63, 256, dtype=np.uint64)]
+_BASE = [int(_RNG.integers(1, 2**63, dtype=np.uint64)) | 1]
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+# a second polynomial, for fingerprints of 128 bits
+_BYTE.append(_RNG.integers(1, 2**63, 256, dtype=np.uint64))
+_BASE.append(int(_RNG.integers(1, 2**63, dtype=np.uint64)) | 1)
+_powers: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64), np.ones(1, np.uint64))] * 2
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -31,27 +33,29 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least ``n`` of each."""
-    if len(_powers[0]) < n:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, at least ``n`` of each."""
+    if len(_powers[which][0]) < n:
         n = max(n, 1 << 16)
-        for i, b in enumerate((_BASE, _INVERSE)):
+        both = []
+        for b in (_BASE[which], pow(_BASE[which], -1, 2**64)):
             p = np.full(n, np.uint64(b % 2**64), np.uint64)
             p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+            both.append(np.multiply.accumulate(p))
+        _powers[which] = (both[0], both[1])
+    return _powers[which]
 
 
-def prefix_sums(raw: np.ndarray) -> np.ndarray:
-    """Sums that window_hashes reads; one longer than ``raw``."""
+def prefix_sums(raw: np.ndarray, which: int = 0) -> np.ndarray:
+    """Sums that span_hashes reads; one longer than ``raw``."""
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * powers(len(raw) + 1)[0][: len(raw)], out=out[1:])
+    np.cumsum(_BYTE[which][raw] * powers(len(raw) + 1, which)[0][: len(raw)], out=out[1:])
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """Hashes of raw[start:end] for all pairs."""
-    return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
+    return mix((sums[ends] - sums[starts]) * powers(len(sums), which)[1][starts])
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

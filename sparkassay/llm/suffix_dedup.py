@@ -16,18 +16,22 @@ strings in a row that name the same gram are a run; its text is the run's contex
    50-byte strings: repeats within a shard are settled, exactly.
 3. Across shards, distinct contexts with the smallest id that holds them are merged
    the same way: a context known to a smaller id is a repeat as a whole.
-4. Left are contexts that differ but share a gram.  Their first holders send 64-bit
+4. Left are contexts that differ but share a gram.  Their first holders send
    fingerprints of single strings, which are merged once more.
 
 What moves is about 4 bytes for every 16 of text, and more only for repeated text.
 A gram, context or string found in a third of all documents is sent once a shard.
-A false match needs two of a task's strings to agree in 64 bits of hash.
-
-Defined results: null or empty text has no bytes and stays; texts below 50 bytes
-lose nothing; rows that share an id are no smaller than one another, so they lose
-nothing to each other; a null id comes after all ids; repeated rows give equal
-rows; an empty table gives no rows.  A document that is itself longer than a shard
-is one shard.
+Across shards a context or string is known by 128 bits, two polynomials with
+independent bases: among 2**42 different strings, a false match anywhere has a
+chance of about 2**-44.  Grams only choose what is compared.
+
+Ids are whole numbers of any size a long holds.  Defined results: null or empty
+text has no bytes and stays; texts below 50 bytes lose nothing; rows that share an
+id are no smaller than one another, so they lose nothing to each other, and may
+stand in different shards; a null id comes after all ids, the greatest long too;
+rows without an id lose nothing to each other; repeated rows give equal rows; an
+empty table gives no rows.  A document that is itself longer than a shard is one
+shard.
 """
 
 from __future__ import annotations
@@ -40,16 +44,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkassay.llm._store import Scratch
+from sparkassay.llm._store import Scratch, partitions
 from sparkassay.llm._words import mix, powers, prefix_sums, span_hashes
 from sparkassay.llm.suffix import DEPTH, substring_classes
 
 GRAM = 20
 SPAN = DEPTH - GRAM + 1
 PIECE = 1 << 17
-NO_ID = np.iinfo(np.int64).max
 LOW = np.uint64(0xFFFFFFFF)
 ROWS = "kind string, bucket int, shard int, data binary, docs binary"
+SETTLED = ["id", "no_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
+#: At most this many partitions for answers; beyond it a partition holds several buckets.
+MOST_PARTITIONS = 20_000
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -97,14 +103,19 @@ def piece_runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
 
 
 class Shard:
-    """A shard's documents in id order, as one buffer, and their runs."""
+    """A shard's documents in id order, as one buffer, and their runs.
+
+    ``ids`` is 0 where ``none`` says that there is no id; ``rank`` numbers the
+    shard's different ids in order, rows without one last and together.
+    """
 
     def __init__(self, pdf: pd.DataFrame, buckets: int):
-        ids = np.array([NO_ID if pd.isna(i) else int(i) for i in pdf["id"]], np.int64)
-        texts = [(t or "").encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
-        order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
-        self.rows = order
-        self.ids = ids[order]
+        ids, none = pdf["id"].to_numpy(np.int64), pdf["no_id"].to_numpy(bool)  # neither holds nulls
+        texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
+        order = sorted(range(len(texts)), key=lambda i: (none[i], ids[i], texts[i]))
+        self.ids, self.none = ids[order], none[order]
+        new = (self.ids[1:] != self.ids[:-1]) | (self.none[1:] != self.none[:-1])
+        self.rank = np.concatenate([[0], np.cumsum(new)]).astype(np.int64)[: len(texts)]
         texts = [texts[i] for i in order]
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(self.sizes)
@@ -134,6 +145,21 @@ class Shard:
         lo, hi = self.first[runs], self.last[runs] + 1
         return _ranges(lo, hi), np.repeat(runs, hi - lo)
 
+    def second(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Hashes by the second polynomial of raw[lo:hi], with ``lo`` ascending."""
+        out = np.empty(len(lo), np.uint64)
+        a = 0
+        while a < len(lo):
+            b = int(np.searchsorted(lo, lo[a] + PIECE, "left"))
+            sums = prefix_sums(self.raw[lo[a] : hi[a:b].max()], 1)
+            out[a:b] = span_hashes(sums, lo[a:b] - lo[a], hi[a:b] - lo[a], 1)
+            a = b
+        return out
+
+    def holders(self, docs: np.ndarray) -> np.ndarray:
+        """Ids and whether there is none, 9 bytes a document, as rows."""
+        return np.concatenate([self.ids[docs].view(np.uint8).reshape(-1, 8), self.none[docs].astype(np.uint8)[:, None]], 1)
+
     def by_bucket(self, kind: str, shard: int, keys: np.ndarray, data: np.ndarray, docs: np.ndarray | None) -> Iterator[tuple]:
         """One row for each bucket (the high half of sorted ``keys``) that has entries."""
         if not len(keys):
@@ -169,10 +195,10 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def name_grams(shard: Shard, number: int) -> list[tuple]:
     """Distinct grams, and which of them stand in two documents of the shard."""
     keys, where = np.unique(shard.gram, return_inverse=True)
-    ids = shard.ids[shard.doc]
-    low, high = np.full(len(keys), NO_ID), np.full(len(keys), np.iinfo(np.int64).min)
-    np.minimum.at(low, where, ids)
-    np.maximum.at(high, where, ids)
+    ranks = shard.rank[shard.doc]
+    low, high = np.full(len(keys), len(shard.rank)), np.full(len(keys), -1)
+    np.minimum.at(low, where, ranks)
+    np.maximum.at(high, where, ranks)
     return list(shard.by_bucket("g", number, keys, (keys & LOW).astype(np.uint32), (low != high).astype(np.uint8)))
 
 
@@ -197,10 +223,10 @@ def local_repeats(shard: Shard) -> np.ndarray:
     seg = np.searchsorted(at, run, "right") - 1
     mine = classes[place - seg_lo[seg] + offset[seg]]
     # documents stand in id order, so a class's first string is its smallest id's: written last, it stays
-    ids = shard.ids[shard.doc[run]]
+    ranks = shard.rank[shard.doc[run]]
     least = np.empty(len(classes) + 1, np.int64)
-    least[mine[::-1]] = ids[::-1]
-    return ids > least[mine]
+    least[mine[::-1]] = ranks[::-1]
+    return ranks > least[mine]
 
 
 def contexts(shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,7 +236,10 @@ def contexts(shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def send_contexts(shard: Shard, number: int) -> list[tuple]:
     keys, first, _ = contexts(shard)
-    out = list(shard.by_bucket("c", number, keys, keys, shard.ids[shard.doc[first]]))
+    at = np.sort(first)
+    second = np.empty(len(shard.doc), np.uint64)
+    second[at] = shard.second(shard.first[at], shard.last[at] + DEPTH)
+    out = list(shard.by_bucket("c", number, keys, np.stack([keys, second[first]], 1), shard.holders(shard.doc[first])))
     grams, where = np.unique(shard.gram, return_inverse=True)
     low, high = np.full(len(grams), LOW, np.uint64), np.zeros(len(grams), np.uint64)
     np.minimum.at(low, where, shard.context >> np.uint64(32))
@@ -230,7 +259,10 @@ def open_runs(shard: Shard, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]
 def send_strings(shard: Shard, number: int, rows: pd.DataFrame) -> list[tuple]:
     place, run, marks = open_strings(shard, open_runs(shard, rows)[1])
     keys, first = np.unique(marks, return_index=True)
-    return list(shard.by_bucket("w", number, keys, keys, shard.ids[shard.doc[run[first]]]))
+    at = np.sort(first)
+    second = np.empty(len(place), np.uint64)
+    second[at] = shard.second(place[at], place[at] + DEPTH)
+    return list(shard.by_bucket("w", number, keys, np.stack([keys, second[first]], 1), shard.holders(shard.doc[run[first]])))
 
 
 def open_strings(shard: Shard, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,19 +296,17 @@ def settle(shard: Shard, rows: pd.DataFrame, keep_text: bool) -> pd.DataFrame:
         np.add.at(edge, start + DEPTH, -1)
     covered = np.cumsum(edge[:-1]) > 0
     out = []
-    for i, a, b in zip(shard.ids, shard.starts, shard.ends, strict=True):
+    for i, none, a, b in zip(shard.ids.tolist(), shard.none.tolist(), shard.starts, shard.ends, strict=True):
         off = covered[a:b]
         raw = shard.raw[a:b]
         step = np.diff(np.concatenate([[0], off.astype(np.int8), [0]]))
         spans = np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], 1)
         kept = raw[~off].tobytes() if len(spans) else raw.tobytes()
         out.append((
-            None if i == NO_ID else int(i), len(raw), int(off.sum()), len(spans), hashlib.sha256(kept).hexdigest(),
+            i, none, len(raw), int(off.sum()), len(spans), hashlib.sha256(kept).hexdigest(),
             spans.ravel().tolist(), kept if keep_text else None,
         ))
-    frame = pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
-    frame["id"] = frame["id"].astype("Int64")
-    return frame
+    return pd.DataFrame(out, columns=SETTLED)
 
 
 # ---- merging what shards sent ----
@@ -304,15 +334,22 @@ def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         mixed = grams[low != high]
         bits = [_found(mixed, x[:, 0]) for x in lists]
     else:
-        lists = [np.frombuffer(d, np.uint64) for d in pdf.data]
-        docs = [np.frombuffer(d, np.int64) for d in pdf.docs]
-        every, ids = np.concatenate(lists), np.concatenate(docs)
-        o = np.lexsort((ids, every))
-        every, ids = every[o], ids[o]
+        lists = [np.frombuffer(d, np.uint64).reshape(-1, 2) for d in pdf.data]
+        held = [np.frombuffer(d, np.uint8).reshape(-1, 9) for d in pdf.docs]
+        docs = [np.ascontiguousarray(h[:, :8]).view(np.int64).ravel() for h in held]
+        none = [h[:, 8].astype(bool) for h in held]
+        every, ids, no_id = np.concatenate(lists), np.concatenate(docs), np.concatenate(none)
+        o = np.lexsort((ids, no_id, every[:, 1], every[:, 0]))
+        every, ids, no_id = every[o], ids[o], no_id[o]
         first = np.ones(len(every), bool)
-        first[1:] = every[1:] != every[:-1]
-        keys, least = every[first], ids[first]
-        bits = [d > least[np.searchsorted(keys, x)] for x, d in zip(lists, docs, strict=True)]
+        first[1:] = (every[1:] != every[:-1]).any(1)
+        keys, least, unheld = every[first], ids[first], no_id[first]
+        bits = []
+        for x, d, n in zip(lists, docs, none, strict=True):
+            at = np.searchsorted(keys[:, 0], x[:, 0])
+            while len(off := np.flatnonzero(keys[at, 1] != x[:, 1])):  # keys that agree in 64 bits only
+                at[off] += 1
+            bits.append(~unheld[at] & (n | (d > least[at])))
     return _frame([(kind, b, s, np.packbits(x).tobytes(), None) for b, s, x in zip(pdf.bucket, pdf.shard, bits, strict=True)])
 
 
@@ -340,12 +377,14 @@ def remove_repeats(
     """``id_col``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``spans`` (start, stop, ...) and ``kept`` bytes."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-dedup")
-    one = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    ident = docs[id_col].cast("long")
+    # a null among longs would reach Python as a float: the id and its absence travel apart
+    one = docs.select(F.coalesce(ident, F.lit(0).cast("long")).alias("id"), ident.isNull().alias("no_id"), docs[text_col].alias("text"))
     total = one.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // (shard_bytes or best_shard(total))))
     files, buckets = min(shards, 20_000), max(1, -(-shards // 4))
-    # rows that share an id share a shard; rows without one are dealt by their text
-    number = F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.xxhash64("text"))), F.lit(shards)).cast("int")
+    # by id and text, so that an id with many texts is spread
+    number = F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int")
     at = scratch.path("shards")
     name = "suffix_" + at.rsplit("/", 2)[-2].replace("-", "_")
     (
@@ -378,15 +417,24 @@ def remove_repeats(
 
     def last(pdf: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame(columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+            return pd.DataFrame(columns=SETTLED)
         return settle(Shard(pdf, buckets), rows, keep_text)
 
-    merged = lambda rows, label: scratch.cut(rows.groupBy("kind", "bucket").applyInPandas(merge, ROWS), label)
+    # partitions by the number of buckets, so that a task's share does not grow with the table
+    wide = max(partitions(spark), min(2 * buckets, MOST_PARTITIONS))
+
+    def merged(rows: DataFrame, label: str) -> DataFrame:
+        return scratch.cut(rows.repartition(wide, "kind", "bucket").groupBy("kind", "bucket").applyInPandas(merge, ROWS), label)
+
     grams = merged(table.groupBy("shard").applyInPandas(first, ROWS), "grams")
     known = merged(with_answers(grams, second, ROWS), "contexts")
     strings = merged(with_answers(grams.union(known), third, ROWS), "strings")
     out = with_answers(
         grams.union(known).union(strings), last,
-        "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary",
+        "id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary",
     )
+    out = scratch.cut(out.withColumn("id", F.when(~F.col("no_id"), F.col("id"))).drop("no_id"), "settled")
+    scratch.drop([grams, known, strings])
+    spark.sql(f"DROP TABLE {name}")
+    scratch.remove(at)
     return out.withColumnRenamed("id", id_col)

@@ -8,13 +8,13 @@ from sparkassay.llm.suffix_dedup import remove_repeats
 
 
 def brute(rows):
-    order = lambda i: float("inf") if i is None else i
+    order = lambda i: (1, 0) if i is None else (0, i)
     first = {}
     for i, t in rows:
         b = (t or "").encode()
         for p in range(len(b) - DEPTH + 1):
             w = b[p : p + DEPTH]
-            first[w] = min(first.get(w, float("inf")), order(i))
+            first[w] = min(first.get(w, (1, 0)), order(i))
     out = []
     for i, t in rows:
         b = (t or "").encode()
@@ -81,6 +81,28 @@ def test_spans_and_kept_bytes(llm):
         assert bytes(r.kept) == cut and hashlib.sha256(cut).hexdigest() == r.kept_sha256
 
 
+def test_ids_of_any_size_beside_nulls(llm):
+    """Longs beyond 2**53, the greatest and the least one, one id with two texts, and a null in every shard."""
+    top = 2**63 - 1
+    a, b, c = ("".join(random.Random(s).choice("abcdefgh ") for _ in range(400)) for s in (1, 2, 3))
+    rows = [(2**60 + 1, a), (2**60 + 3, a), (2**60 + 2, a + b), (top, b), (top, b + "x"), (-(2**63), c), (top - 1, c + a), (None, b + c), (None, b + c), (None, "only here " * 9)]
+    rows += [(2**61 + i, random.Random(50 + i).choice([a, b, c])[: 100 + i]) for i in range(30)] + [(None, f"{i} " * 60 + a[i : i + 80]) for i in range(30)]
+    df = llm.createDataFrame(rows, "doc_id long, text string")
+    for size in (500, 3_000, 1 << 20):
+        assert spark_rows(remove_repeats(df, shard_bytes=size)) == brute(rows)
+
+
+def test_scratch_is_gone(llm):
+    before = {t.name for t in llm.catalog.listTables()}
+    remove_repeats(llm.createDataFrame(passages(n=20), "doc_id long, text string")).count()
+    assert {t.name for t in llm.catalog.listTables()} == before
+
+
+def test_clashing_columns(llm):
+    df = llm.createDataFrame([(1, "abc " * 30, "x", 5), (2, "abc " * 30, "y", 6)], "doc_id long, text string, kept_sha256 string, n_bytes int")
+    assert spark_rows(remove_repeats(df)) == brute([(1, "abc " * 30), (2, "abc " * 30)])
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     assert spark_rows(remove_repeats(odd_docs, shard_bytes=3_000)) == brute(rows)
