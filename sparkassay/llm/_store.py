@@ -6,6 +6,8 @@ costs a retry of a task and never the data of an earlier step.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -16,13 +18,25 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local session gets a folder of our own that goes with the
+    process; on a cluster that is an error, as executors could not read the folder.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = tempfile.mkdtemp(prefix="sparkassay-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="sparkassay-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+    return _own[app]
 
 
 class Scratch:
