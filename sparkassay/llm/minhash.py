@@ -2,8 +2,8 @@
 
 1. One pass over the texts gives each document its set of 5-word shingles as
    64-bit hashes, of which only a 128-bit fingerprint, the size and a signature of
-   ``BANDS * ROWS`` minima are kept.  Documents with equal sets are one node from
-   here on, named by their smallest id.
+   ``BANDS * ROWS`` minima are kept.  Rows with equal sets are one numbered node
+   from here on.  An id with several sets links their nodes.
 2. Nodes that share a band are candidates.  At a similarity of 0.75 a pair shares
    no band with probability (1 - 0.75**4)**32, about 5e-6.
 3. Candidates are compared a batch of hash values at a time.  After n values with
@@ -14,7 +14,7 @@
 Pairs are never spelled out inside a group.  First each member of a band meets
 only the band's smallest node; confirmed links make components.  Members of one
 component need no more comparisons.  Bands whose members lie in several components
-then compare members of different components, in blocks of bounded size inside a
+then compare members of different components, in blocks of bounded rows and bytes inside a
 task, which holds their full sets: unpruned pairs are confirmed there, likeliest
 first, until a member has a link to each component or has met all its members.
 Only links that join components leave the task, so no link between components is
@@ -22,9 +22,10 @@ lost and what is sent grows with a group's size and not with its square.
 
 Defined results: null or empty text, or text without words, has an empty set,
 is linked with nothing and is its own component; fewer than five words are one
-shingle; rows that share an id are one node; a row without an id is linked with
-nothing, has a null component and is kept; an empty table gives no rows; input
-columns named like a result are replaced by it.
+shingle; rows that share an id are one document, so what one of their texts is
+linked with is linked with all; a row without an id is linked with nothing, has a
+null component and is kept; ids are of any type that has an order; an empty table
+gives no rows; input columns named like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -48,7 +49,9 @@ HASHES = BANDS * ROWS
 PERCENT = 75
 MISS = 1e-6
 BATCH = 16
-BLOCK = 1000
+#: A block holds about so many members, and shingles of 8 bytes.
+BLOCK, BLOCK_SHINGLES = 1000, 1 << 20
+SALTS = 16
 
 _FACTOR = np.random.default_rng(77).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = np.random.default_rng(78).integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
@@ -92,35 +95,45 @@ def band_keys(sigs: np.ndarray) -> np.ndarray:
     return mix((mix(parts) * _BAND).sum(2, dtype=np.uint64)).view(np.int64)
 
 
+def _text_sets(texts: list) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(index of the first, shingle sets) of groups of texts."""
+    for first, group in pieces(texts):
+        hashes, _, _, counts = word_hashes([t.translate(LOWER) for t in group])
+        edges = np.concatenate([[0], np.cumsum(counts)])
+        yield first, [shingle_set(hashes[edges[i] : edges[i + 1]], SHINGLE) for i in range(len(group))]
+
+
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    return int(mix(s, 3).sum(dtype=np.uint64).view(np.int64)), int(mix(s, 4).sum(dtype=np.uint64).view(np.int64))
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, texts = b.column(0), b.column(1).to_pylist()
-        for first, group in pieces(texts):
-            hashes, _, _, counts = word_hashes([t.translate(LOWER) for t in group])
-            edges = np.concatenate([[0], np.cumsum(counts)])
-            n, f1, f2, sigs = [], [], [], []
-            for i in range(len(group)):
-                s = shingle_set(hashes[edges[i] : edges[i + 1]], SHINGLE)
-                n.append(len(s))
-                f1.append(int(mix(s, 3).sum(dtype=np.uint64).view(np.int64)))
-                f2.append(int(mix(s, 4).sum(dtype=np.uint64).view(np.int64)))
-                sigs.append(signature(s).tobytes() if len(s) else None)
+        ids = b.column(0)
+        for first, sets in _text_sets(b.column(1).to_pylist()):
+            f1, f2 = zip(*(fingerprint(s) for s in sets), strict=True)
+            sigs = [signature(s).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(first, len(group)), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sigs, pa.binary())],
+                [
+                    ids.slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
+                    pa.array(sigs, pa.binary()),
+                ],
                 names=["id", "n", "f1", "f2", "sig"],
             )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n, f1, f2, text) to the node's set; texts of the node's id that are not the node's own are left out."""
     for b in batches:
-        ids, texts = b.column(0), b.column(1).to_pylist()
-        for first, group in pieces(texts):
-            hashes, _, _, counts = word_hashes([t.translate(LOWER) for t in group])
-            edges = np.concatenate([[0], np.cumsum(counts)])
-            sets = [shingle_set(hashes[edges[i] : edges[i + 1]], SHINGLE) for i in range(len(group))]
+        nodes, f1, f2 = (b.column(i).to_pylist() for i in (0, 2, 3))
+        for first, sets in _text_sets(b.column(4).to_pylist()):
+            own = [(nodes[i], s) for i, s in enumerate(sets, first) if fingerprint(s) == (f1[i], f2[i])]
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(first, len(group)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([signature(x).tobytes() for x in sets], pa.binary())],
-                names=["node", "shingles", "sig"],
+                [
+                    pa.array([i for i, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int64()),
+                    pa.array([s.tobytes() for _, s in own], pa.binary()), pa.array([signature(s).tobytes() for _, s in own], pa.binary()),
+                ],
+                names=["node", "n", "shingles", "sig"],
             )
 
 
@@ -165,7 +178,7 @@ class NearDuplicates:
     """The steps for one table; ``classes`` gives one row a document."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-        self.texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+        self.texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
         self.scratch = Scratch(docs.sparkSession, "minhash")
 
     def _with(self, pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
@@ -177,9 +190,11 @@ class NearDuplicates:
     def classes(self) -> DataFrame:
         """id, n_shingles, component: a row for every input row."""
         cut = self.scratch.cut
-        rows = cut(self.texts.mapInArrow(_sketch, "id long, n long, f1 long, f2 long, sig binary"), "sketch")
+        kind = self.texts.schema["id"].dataType.simpleString()
+        rows = cut(self.texts.mapInArrow(_sketch, f"id {kind}, n long, f1 long, f2 long, sig binary"), "sketch")
         held = rows.where("n > 0 AND id IS NOT NULL")
-        nodes = cut(held.groupBy("n", "f1", "f2").agg(F.min("id").alias("node"), F.first("sig").alias("sig")), "nodes")
+        nodes = held.groupBy("n", "f1", "f2").agg(F.min("id").alias("least"), F.first("sig").alias("sig"))
+        nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed by the write
         bands = cut(nodes.select("node", "sig").mapInArrow(_bands, "band int, key long, node long"), "bands")
         shared = cut(
             bands.groupBy("band", "key").agg(F.min("node").alias("leader"), F.max("node").alias("most"))
@@ -187,30 +202,57 @@ class NearDuplicates:
         )
         members = cut(bands.join(shared.hint("merge"), ["band", "key"]), "members")
         self.scratch.drop([bands, shared])
-        chosen = members.select("node").distinct()
-        sets = cut(
-            self.texts.join(chosen.hint("merge"), self.texts["id"] == chosen["node"], "left_semi")
-            .mapInArrow(_sets, "node long, shingles binary, sig binary"), "sets",
-        ).dropDuplicates(["node"])
+        sets = self._full_sets(nodes.join(members.select("node").distinct().hint("merge"), "node", "left_semi"))
         sigs = nodes.select("node", "sig")
         stars = members.where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
         stars = cut(self._with(stars, sigs, "sig").mapInArrow(_prune, "a long, b long"), "stars")
         # first each node with its smallest leader; the rest only where that left components apart
         nearest = stars.groupBy("a").agg(F.min("b").alias("b"))
-        links = cut(self._with(nearest, sets, "shingles").mapInArrow(_confirm, "a long, b long"), "links")
-        found = components(links, self.scratch)
+        links = self._with(nearest, sets, "shingles").mapInArrow(_confirm, "a long, b long")
+        found = components(cut(links.unionByName(self._same_ids(held, nodes)), "links"), self.scratch)
         rest = cut(self._apart(stars, found), "apart")
         new = cut(self._with(rest, sets, "shingles").mapInArrow(_confirm, "a long, b long"), "links")
         found = self._joined(found, new)
         found = self._joined(found, cut(self._across(members, sets, found), "across"))
-        found = found.select(F.col("node").alias("fn"), F.col("component"))
-        named = nodes.select(F.col("n").alias("rn"), F.col("f1").alias("r1"), F.col("f2").alias("r2"), "node")
-        named = cut(named.join(found, F.col("node") == F.col("fn"), "left").select("rn", "r1", "r2", F.coalesce("component", "node").alias("component")), "named")
+        self.scratch.drop([members, stars])
+        found = self._named(found, nodes)
+        named = nodes.select(F.col("n").alias("rn"), F.col("f1").alias("r1"), F.col("f2").alias("r2"), "node", "least")
+        named = cut(named.join(found, F.col("node") == F.col("fn"), "left").select("rn", "r1", "r2", F.coalesce("name", "least").alias("component")), "named")
         one = rows.select("id", "n", "f1", "f2")
         return one.join(
             named.hint("merge"), (F.col("n") == F.col("rn")) & (F.col("f1") == F.col("r1")) & (F.col("f2") == F.col("r2")) & F.col("id").isNotNull(), "left"
         ).select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
+    def _full_sets(self, chosen: DataFrame) -> DataFrame:
+        """node, n, shingles, sig of the chosen nodes, read from the texts of their smallest ids."""
+        texts = chosen.select("node", "n", "f1", "f2", "least").hint("merge").join(self.texts, F.col("least") == F.col("id"))
+        sets = self.scratch.cut(
+            texts.select("node", "n", "f1", "f2", "text").mapInArrow(_sets, "node long, n long, shingles binary, sig binary"), "sets"
+        )
+        if sets.groupBy("node").count().where("count > 1").isEmpty():
+            return sets
+        return self.scratch.cut(sets.dropDuplicates(["node"]), "sets")  # equal rows
+
+    def _same_ids(self, held: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Links between the nodes of ids that have several texts."""
+        none = nodes.where("false").select(F.col("node").alias("a"), F.col("node").alias("b"))
+        texts = F.struct("n", "f1", "f2")
+        many = self.scratch.cut(held.groupBy("id").agg(F.min(texts).alias("x"), F.max(texts).alias("y")).where("x <> y").select("id"), "many")
+        if many.isEmpty():
+            return none
+        own = held.select("id", "n", "f1", "f2").join(many.hint("merge"), "id").distinct()
+        own = self.scratch.cut(own.join(nodes.select("n", "f1", "f2", "node").hint("merge"), ["n", "f1", "f2"]).select("id", "node"), "own")
+        first = own.groupBy("id").agg(F.min("node").alias("b"))
+        return own.join(first.hint("merge"), "id").where("node <> b").select(F.col("node").alias("a"), "b")
+
+    def _named(self, found: DataFrame, nodes: DataFrame) -> DataFrame:
+        """fn (node) and name, the smallest id of its component; salted, as one component may hold most nodes."""
+        known = self.scratch.cut(found.join(nodes.select("node", "least").hint("merge"), "node"), "known")
+        names = known.groupBy("component").agg(F.min("least").alias("name"))
+        names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = known.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        return salted.join(names.hint("merge"), ["component", "salt"]).select(F.col("node").alias("fn"), "name")
+
     def _apart(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
         """Pairs whose nodes lie in different components, smaller node second, once each."""
         one = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
@@ -227,22 +269,25 @@ class NearDuplicates:
 
     def _across(self, members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
         """Confirmed links between different components within a band."""
-        m = members.where("node <> leader").join(found.select("node", "component").hint("merge"), "node", "left")
-        m = self.scratch.cut(m.select("band", "key", "node", F.coalesce("component", "node").alias("component")), "named")
+        known = sets.select("node", "n").join(found.select("node", "component").hint("merge"), "node", "left")
+        known = known.select("node", "n", F.coalesce("component", "node").alias("component"))
+        m = self.scratch.cut(members.where("node <> leader").select("band", "key", "node").join(known.hint("merge"), "node"), "placed")
         # members of each band's commonest component meet only those outside it
-        sizes = m.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("c"))
+        sizes = m.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
         bands = sizes.groupBy("band", "key").agg(
-            F.sum("c").alias("total"), F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("parts")
-        ).where("parts > 1").select(
-            "band", "key", F.col("top.component").alias("main"),
-            F.ceil(F.col("total") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("total") - F.col("top.c")) / BLOCK).cast("int").alias("nm"),
+            F.sum("c").alias("total"), F.sum("w").alias("words"), F.max(F.struct("c", "component", "w")).alias("top"), F.count(F.lit(1)).alias("parts")
+        )
+        blocks = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+        bands = bands.where("parts > 1").select(
+            "band", "key", F.col("top.component").alias("main"), blocks(F.col("total"), F.col("words")).alias("nb"),
+            blocks(F.col("total") - F.col("top.c"), F.col("words") - F.col("top.w")).alias("nm"),
         )
         m = m.join(bands.hint("merge"), ["band", "key"])
         spot = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
         minor = m.where("component <> main").withColumn("j", (spot % F.col("nm")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("minor", F.lit(True))
         every = m.withColumn("i", (spot % F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nm") - 1))).withColumn("minor", F.lit(False))
         cols = ["band", "key", "i", "j", "minor", "node", "component"]
-        blocks = minor.select(*cols).union(every.select(*cols)).join(sets.hint("merge"), "node")
+        blocks = minor.select(*cols).union(every.select(*cols)).join(sets.select("node", "shingles", "sig").hint("merge"), "node")
         return blocks.groupBy("band", "key", "i", "j").applyInPandas(join_block, "a long, b long")
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sparkassay.llm import minhash
 from sparkassay.llm._components import components
@@ -54,6 +55,48 @@ def test_against_brute_force(llm):
     assert got == brute(rows)
 
 
+def test_ids_with_several_texts(llm):
+    """What any text of an id is linked with, all are; equal rows and string ids too."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(500)]
+    new = lambda: [rng.choice(words) for _ in range(60)]
+    near = lambda t: [*t[:30], "changed", *t[31:]]
+    a, b, c, d = new(), new(), new(), new()
+    rows = [(1, a), (1, b), (12, near(b)), (7, near(a)), (30, c), (30, c), (31, near(c)), (40, d), (41, near(d)), (41, near(c)), (50, new())]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    want = {1: 1, 12: 1, 7: 1, 30: 30, 31: 30, 40: 30, 41: 30, 50: 50}
+    got = dedup_near(llm.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] and r.kept == (r.doc_id == r.component_id) for r in got)
+    named = [(f"d{i:03d}", t) for i, t in rows]
+    got = dedup_near(llm.createDataFrame(named, "doc_id string, text string").withColumn("kept", F.lit(5)).withColumn("n", F.lit("x"))).collect()
+    assert all(r.component_id == f"d{want[int(r.doc_id[1:])]:03d}" for r in got)
+
+
+def test_pairs_of_exactly_three_quarters(llm):
+    """60 shingles of which 45 are shared, beside one pair just below."""
+    rng = random.Random(6)
+    word = iter(f"x{i}" for i in range(10_000))
+    rows = []
+    for k in range(30):
+        common = [next(word) for _ in range(49 + 4)]  # 49 shingles shared
+        left, right = ([next(word) for _ in range(m)] for m in (8, 8 if k % 2 else 9))  # 49 of 65, 49 of 66
+        rows += [(2 * k, common + left), (2 * k + 1, common + right)]
+    common = [next(word) for _ in range(46)]  # 42 shared shingles, 7 + 7 of their own: 75 of 100
+    rows += [(1000, common + [next(word) for _ in range(7)]), (1001, common + [next(word) for _ in range(7)])]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup_near(llm.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and got[1001][1] == 1000
+
+
+def test_blocks_by_shingles(llm, monkeypatch):
+    """Blocks of a few rows and bytes give the same classes."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 200)
+    rows = variants(seed=11, n=90)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup_near(llm.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_blocks_inside_a_band_lose_nothing(llm, monkeypatch):
     import pandas as pd
 
