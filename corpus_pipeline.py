@@ -37,11 +37,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each class of near duplicates."""
-    kept = dedup_near(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__np_id")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept.hint("merge"), F.col("doc_id") == F.col("__np_id"), "left_semi")
-    one = W.Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = named.withColumn("__np_row", F.row_number().over(one)).where("__np_row = 1").select(*docs.columns)
+    """One document, the smallest id, of each class of near duplicates.
+
+    A row is known by its id and text: two unlike texts under one id are two documents.
+    """
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("h")))
+    kept = dedup_near(docs.select(row.alias("__np_row"), "text"), "__np_row").where("kept AND __np_row IS NOT NULL")
+    kept = kept.select(F.col("__np_row.doc_id").alias("__np_id"), F.col("__np_row.h").alias("__np_h")).distinct()
+    named = docs.where("doc_id IS NOT NULL").withColumn("__np_th", F.xxhash64("text"))
+    named = named.join(kept.hint("merge"), (F.col("doc_id") == F.col("__np_id")) & (F.col("__np_th") == F.col("__np_h")), "left_semi")
+    one = W.Window.partitionBy("doc_id", "__np_th").orderBy(F.xxhash64(*docs.columns))
+    named = named.withColumn("__np_no", F.row_number().over(one)).where("__np_no = 1").select(*docs.columns)
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 
