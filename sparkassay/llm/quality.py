@@ -6,16 +6,19 @@ filters run over every chunk, rectified and max-pooled to one vector a chunk; a
 hidden layer reads that vector; mean and maximum over all chunks of the document
 feed one logistic output.
 
-Fitting is bounded: at most ``max_docs`` labelled documents (chosen by hash) and
-``doc_chunks`` evenly spaced chunks of each reach the driver, about 32 MB, whatever
-the size of the tables.  Scoring reads every byte of every document and runs in
+Fitting is bounded: labelled documents are taken in the order of a hash, whole,
+until there are ``max_docs`` of them or the next one would pass ``max_bytes`` of
+text in all; that is what reaches the driver, whatever the size of the tables.  A
+document longer than ``max_bytes`` is not learned from.  Scoring reads every byte of every document and runs in
 Arrow batches; memory is one batch and one block of chunks.
 
 Labels, language, source and id are never inputs.  Defined results: null or empty
 text is one chunk of padding and gets that chunk's score; without any usable label
 every score is 0.5; rows with a null id count as held out, as no remainder can be
-shown for them; repeated rows get equal scores; input columns named like a result
-are replaced by it.
+shown for them; repeated rows get equal scores and are learned from once; of rows
+that share an id each different text is a document of its own; ids are of any type
+that has an order and a text form; input columns named like a result are replaced
+by it.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 CHUNK, OVERLAP = 512, 64
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 4, 12, 3, 40, 24
@@ -90,11 +94,14 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
     def gradients(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict:
+        """Of the weighted log loss; whole documents of any length, block by block of chunks."""
         p, n = self.p, len(x)
-        cols = self._unfold(x)
-        z = (cols @ p["conv"]).reshape(n, PLACES, FILTERS)
-        best = z.argmax(1)
-        pooled = np.take_along_axis(z, best[:, None], 1)[:, 0] + p["conv_b"]
+        best, pooled = np.empty((n, FILTERS), np.int64), np.empty((n, FILTERS), p["conv"].dtype)
+        for i in range(0, n, 256):
+            part = x[i : i + 256]
+            z = (self._unfold(part) @ p["conv"]).reshape(len(part), PLACES, FILTERS)
+            best[i : i + 256] = z.argmax(1)
+            pooled[i : i + 256] = np.take_along_axis(z, best[i : i + 256][:, None], 1)[:, 0] + p["conv_b"]
         act = np.maximum(pooled, 0)
         h = np.maximum(act @ p["hid"] + p["hid_b"], 0)
         first = np.concatenate([[0], np.cumsum(counts)[:-1]])
@@ -113,19 +120,16 @@ class Network:
         g["hid"], g["hid_b"] = act.T @ dh, dh.sum(0)
         dpool = (dh @ p["hid"].T) * (pooled > 0)
         g["conv_b"] = dpool.sum(0)
-        rows = (np.arange(n)[:, None] * PLACES + best).ravel()  # only the pooled places carry gradient
-        flat = dpool.ravel()
-        conv = np.zeros_like(p["conv"])
-        demb = np.zeros_like(p["embed"])
-        filt = np.tile(np.arange(FILTERS), n)
-        start = (np.arange(n)[:, None] * CHUNK + best * STRIDE).ravel()
-        xs = x.ravel()
-        for f in range(FILTERS):
-            pick = filt == f
-            conv[:, f] = cols[rows[pick]].T @ flat[pick]
-        dcols = flat[:, None] * p["conv"].T[filt]
-        for k in range(WIDTH):
-            np.add.at(demb, xs[start + k], dcols[:, k * EMBED : (k + 1) * EMBED])
+        conv, demb = np.zeros(p["conv"].shape), np.zeros(p["embed"].shape)
+        for i in range(0, n, 256):
+            # only the pooled places carry gradient
+            d = dpool[i : i + 256]
+            starts = np.arange(len(d))[:, None] * CHUNK + best[i : i + 256] * STRIDE
+            seen = x[i : i + 256].ravel()[starts[:, :, None] + np.arange(WIDTH)]  # chunks, FILTERS, WIDTH
+            conv += np.einsum("cfk,cf->kf", p["embed"][seen].reshape(len(d), FILTERS, -1), d)
+            back = (d[:, :, None] * p["conv"].T).reshape(-1, EMBED)
+            for e in range(EMBED):
+                demb[:, e] += np.bincount(seen.ravel(), back[:, e], len(demb))
         g["conv"], g["embed"] = conv, demb
         return g
 
@@ -156,34 +160,29 @@ def _fold(id_col):
     return F.crc32(id_col.cast("string")) % 5
 
 
-def training_chunks(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_docs: int, doc_chunks: int):
+def training_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_docs: int, max_bytes: int):
     """Chunks and labels of a bounded, hash-chosen sample outside the held-out fold."""
     ident = F.col(id_col)
-    chosen = (
+    marked = (
         labels.select(ident, F.col(label_col).cast("int").alias("__q_y"))
         .where(ident.isNotNull() & F.col("__q_y").isin(0, 1) & (_fold(ident) != 0))
-        .orderBy(F.md5(ident.cast("string")), "__q_y").limit(max_docs)
+        .distinct().orderBy(F.md5(ident.cast("string")), ident, "__q_y").limit(max_docs)
     )
-    # at most max_docs rows of two numbers: a proven bound for the broadcast
-    picked = docs.select(ident, F.col(text_col).alias("__q_text")).join(F.broadcast(chosen), id_col)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for ident, text, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                starts = chunk_starts(len(data))
-                if len(starts) > doc_chunks:
-                    starts = starts[np.linspace(0, len(starts) - 1, doc_chunks).astype(int)]
-                rows.append((ident, y, cut_chunks(data, starts).tobytes()))
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["id", "y", "x"]
-            )
-
-    rows = picked.mapInArrow(cut, "id long, y int, x binary").collect()
-    rows.sort(key=lambda r: (r.id, r.y, bytes(r.x)))
-    return [np.frombuffer(r.x, np.int16).reshape(-1, CHUNK) for r in rows], np.array([r.y for r in rows], np.int64)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # at most max_docs rows of two values: a proven bound for the broadcast
+    found = docs.select(ident, text.alias("__q_text")).join(F.broadcast(marked), id_col)
+    found = found.withColumn("__q_h", F.xxhash64("__q_text"))
+    order = [F.md5(ident.cast("string")), ident, F.col("__q_h"), F.col("__q_y")]
+    kinds = found.groupBy(id_col, "__q_h", "__q_y").agg(F.max(F.octet_length("__q_text").cast("long")).alias("__q_n"))
+    before = W.Window.orderBy(*order).rowsBetween(W.Window.unboundedPreceding, 0)
+    # a window over max_docs rows of four values
+    chosen = kinds.orderBy(*order).limit(max_docs).withColumn("__q_sum", F.sum("__q_n").over(before)).where(F.col("__q_sum") <= max_bytes)
+    chosen = F.broadcast(chosen.select(id_col, "__q_h", "__q_y"))
+    taken = found.join(chosen, [id_col, "__q_h", "__q_y"]).groupBy(id_col, "__q_h", "__q_y").agg(F.first("__q_text").alias("__q_text"))
+    rows = taken.select(F.col(id_col).cast("string").alias("i"), F.col("__q_y").alias("y"), F.col("__q_text").alias("t")).collect()
+    rows.sort(key=lambda r: (r.i, r.y, r.t))
+    texts = [r.t.encode("utf-8", "surrogatepass") for r in rows]
+    return [cut_chunks(t, chunk_starts(len(t))) for t in texts], np.array([r.y for r in rows], np.int64)
 
 
 def score_batch(net: Network | None, texts: list) -> list[float]:
@@ -218,12 +217,12 @@ def classify_quality(
     text_col: str = "text",
     label_col: str = "quality",
     max_docs: int = 4000,
-    doc_chunks: int = 8,
+    max_bytes: int = 32 << 20,
     threshold: float = THRESHOLD,
     keep_text: bool = True,
 ) -> DataFrame:
     """Input columns (the text only if ``keep_text``) plus ``held_out``, ``score`` and ``predicted``."""
-    chunks, y = training_chunks(docs, labels, id_col, text_col, label_col, max_docs, doc_chunks)
+    chunks, y = training_texts(docs, labels, id_col, text_col, label_col, max_docs, max_bytes)
     net = Network().fit(chunks, y) if len(y) and 0 < y.sum() < len(y) else None
     base = docs.drop(*[c for c in docs.columns if c.lower() in ("held_out", "score", "predicted")])
     at = base.columns.index(text_col)
