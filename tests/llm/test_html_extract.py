@@ -1,6 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
-from sparkassay.llm.html_extract import extract_pages, main_text
+from sparkassay.llm.html_extract import MAX_LINKS, MIN_STOPS, SHORT_CHARS, STOP_WORDS, extract_pages, main_text
 
 LONG = "This is a long paragraph of the text that is in the article and it is for the reader to read on and on."
 
@@ -31,6 +33,76 @@ def test_names_of_wrappers_and_parts():
     assert main_text(f'<article><p hidden>{LONG}</p><p style="display: none">no</p><p>yes</p></article>') == "yes"
 
 
+def test_names_are_a_prior_that_text_can_overrule():
+    two = f"<p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+    want = f"{LONG}\n\nShort.\n\n{LONG}"
+    assert main_text(f'<div id="content" class="post comments-open"><h1>T</h1>{two}</div><div class="comments"><p>{LONG}</p></div>') == f"T\n\n{want}"
+    assert main_text(f'<div class="page comments-open"><article>{two}</article></div>') == want
+    assert main_text(f'<article><div class="feedback-study">{two}</div></article>') == want
+    assert main_text(f'<form id="page-form"><div class="menu">menu</div><h1>T</h1>{two}</form>') == f"T\n\n{want}"
+    assert main_text(f'<div class="sidebar main"><h1>T</h1>{two}</div><div class="footer"><p>{LONG}</p></div>') == f"T\n\n{want}"
+    # many comments beside a short article stay out
+    many = "".join(f'<article class="comment"><p>{LONG}</p></article>' for _ in range(20))
+    assert main_text(f'<article><h1>T</h1><p>{LONG}</p></article><div class="comments-area">{many}</div>') == f"T\n\n{LONG}"
+    for name in ("sidebar-left", "ad-slot", "postComments", "related-posts", "cookie_notice", "nav-primary", "comment-list", "google_ad"):
+        assert main_text(f'<div class="post">{two}<div class="{name}"><p>{LONG}</p></div></div>') == want
+
+
+def test_other_scripts():
+    russian = "\u042d\u0442\u043e \u0430\u0431\u0437\u0430\u0446 \u0441\u0442\u0430\u0442\u044c\u0438, \u043a\u043e\u0442\u043e\u0440\u044b\u0439 \u0447\u0438\u0442\u0430\u044e\u0442. " * 6
+    chinese = "\u8fd9\u662f\u4e00\u6bb5\u5f88\u957f\u7684\u6587\u5b57" * 8
+    for text in (russian.strip(), chinese):
+        page = f'<body><ul><li><a href=x>{text[:12]}</a></li><li><a href=y>{text[:9]}</a></li></ul><h1>{text[:8].strip()}</h1><p>{text}</p><p>{text[:6].strip()}.</p><p>{text}</p></body>'
+        assert main_text(page) == "\n\n".join([text[:8].strip(), text, text[:6].strip() + ".", text])
+
+
+def test_quotes_that_do_not_close():
+    assert main_text(f'<article><p>{LONG} <a title="foo>link</a> after</p><p class="x">{LONG}</p></article>') == f"{LONG} link after\n\n{LONG}"
+    assert main_text(f"<article><p>{LONG} <a title='it>link</a></p></article>") == f"{LONG} link"
+    assert main_text(f'<article><p title="a > b">{LONG}</p><p data-x="<b>">x</p></article>') == f"{LONG}\n\nx"
+    assert main_text("<article><p>" + '<a title="' * 20_000) == ""
+
+
+def plain_labels(blocks):
+    """Two-pass labels of a page without names and sections, written the long way."""
+    first = []
+    for text, links, heading in blocks:
+        words = text.lower().split()
+        stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words)
+        if links > MAX_LINKS * len(text):
+            first.append("out")
+        elif heading or len(text) < SHORT_CHARS or stops / len(words) < MIN_STOPS:
+            first.append("?")
+        else:
+            first.append("in")
+    out = []
+    for i, label in enumerate(first):
+        if label == "?":
+            near = [(abs(j - i), j > i, x) for j, x in enumerate(first) if x != "?"]
+            if blocks[i][2] and any(later for _, later, _ in near):
+                near = [n for n in near if n[1]]
+            label = min(near)[2] if near else "out"
+        out.append(label == "in")
+    return out
+
+
+def test_labels_against_a_plain_two_pass_form():
+    rng = random.Random(3)
+    for _ in range(400):
+        blocks, page = [], ""
+        for _ in range(rng.randint(2, 14)):
+            words = [rng.choice(["the", "of", "and"] if rng.random() < 0.4 else ["stone", "river", "garden", "lamp"]) for _ in range(rng.choice([2, 5, 9, 30, 40]))]
+            heading = rng.random() < 0.15
+            linked = rng.choice([0, 0, 0, len(words), len(words) // 2])
+            head, tail = " ".join(words[:linked]), " ".join(words[linked:])
+            text = f"{head} {tail}".strip()
+            blocks.append((text, len(head), heading))
+            tag = "h2" if heading else "p"
+            page += f"<{tag}>" + (f"<a href=x>{head}</a> " if head else "") + f"{tail}</{tag}>"
+        if sum(len(t) >= SHORT_CHARS for t, *_ in blocks) and sum(any(w in STOP_WORDS for w in t.split()) for t, *_ in blocks) > 1:
+            assert main_text(page) == "\n\n".join(b[0] for b, keep in zip(blocks, plain_labels(blocks)) if keep)
+
+
 def test_broken_markup_and_plain_text():
     assert main_text(None) == main_text("") == main_text("<p></p>") == ""
     assert main_text("only text") == "only text"
