@@ -15,7 +15,8 @@ that every node is one or next to one, so no part of the graph is without; a que
 starts at its best ``ENTRIES`` pivots and at its own neighbours, and expands the
 best ``BEAM`` nodes until none is new.  Where the nodes found are so close that bytes
 do not tell them apart, lists of the graph say nothing, and the query is held against
-all nodes of the shard instead.  Nodes rank by squared distance of the unit vectors,
+all nodes of the shard instead, as it is where the nodes wanted are a large part
+of the shard.  A shard gives ``spare`` nodes more than ``k``.  Nodes rank by squared distance of the unit vectors,
 which does not tie where products do (``sim`` is its negative).  The best of
 all shards are scored again on the original vectors in double precision, and the
 copies of a node take their places by id.
@@ -23,7 +24,8 @@ copies of a node take their places by id.
 Every row is indexed.  Defined results: vectors that are null, empty, zero or hold
 null or non-finite components take no part, as query or candidate; vectors of other
 dimensions are never compared; fewer candidates than ``k`` give all of them; an
-empty table gives no rows; rows that share an id and vector are one candidate.
+empty table gives no rows; rows that share an id and vector are one candidate; ids are
+whole numbers; columns other than id and vector are not looked at.
 """
 
 from __future__ import annotations
@@ -37,12 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from sparkassay.llm._store import Scratch
+from sparkassay.llm._store import Scratch, partitions
 
 NEIGHBOURS, REVERSE, SENT = 24, 16, 5
 ROUNDS, CHANGED = 12, 0.02
-BEAM, ENTRIES, FOUND = 128, 48, 12
-QUERY_BLOCK = 500
+BEAM, ENTRIES = 128, 48
+#: A task takes so many queries at most, and so few where there are cores to spare.
+QUERY_BLOCK, SMALL_BLOCK = 16_384, 500
 BLURS, SCAN_BLOCK, SLACK = 25, 64, 1e-5
 
 
@@ -190,7 +193,7 @@ class NeighbourGraph:
                 break
         return edges
 
-    def search(self, edges: DataFrame, queries: DataFrame) -> DataFrame:
+    def search(self, edges: DataFrame, queries: DataFrame, wanted: int) -> DataFrame:
         """For each query node (``node``): the best nodes of every shard, (query, node)."""
         lists = edges.groupBy("u").agg(F.collect_list("v").alias("near"))
         graph = self.nodes.select("shard", "dim", "node", "unit").join(lists, F.col("node") == F.col("u"), "left").select(
@@ -199,14 +202,20 @@ class NeighbourGraph:
         asked = queries.select(F.col("node").alias("query")).distinct().join(
             self.nodes.select(F.col("node").alias("query"), "dim", F.col("unit").alias("ask")), "query"
         )
-        # as many blocks as the number of queries needs; each meets every shard
-        blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+        # every block meets every shard, so a shard's graph is sent once a block: blocks are as large as a
+        # shard, unless there are too few shards for the cores
+        count = asked.count()
+        spread = min(-(-count // SMALL_BLOCK), -(-2 * partitions(self.nodes.sparkSession) // self.shards))
+        blocks = max(1, -(-count // QUERY_BLOCK), spread)
         block = F.pmod(F.xxhash64("query", F.lit(9)), F.lit(blocks)).cast("int")
         asked = asked.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.shards - 1).cast("long"))))
         graph = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         keys = ["dim", "shard", "block"]
         graph = graph.select(*(F.col(c).alias(f"g_{c}") for c in graph.columns))
-        return asked.groupBy(*keys).cogroup(graph.groupBy(*(f"g_{c}" for c in keys))).applyInPandas(greedy_search, "query long, node long, sim float")
+        def run(asks: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+            return greedy_search(asks, part, wanted)
+
+        return asked.groupBy(*keys).cogroup(graph.groupBy(*(f"g_{c}" for c in keys))).applyInPandas(run, "query long, node long, sim float")
 
 
 def _both_ways(ids: np.ndarray, near: list) -> tuple[np.ndarray, np.ndarray]:
@@ -230,8 +239,8 @@ def _pivots(starts: np.ndarray, lists: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def greedy_search(asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-    """Beam search of each query over one shard's graph."""
+def greedy_search(asked: pd.DataFrame, graph: pd.DataFrame, wanted: int = 12) -> pd.DataFrame:
+    """The ``wanted`` best nodes of one shard for each query, by beam search over its graph."""
     out: list[tuple] = []
     if len(asked) and len(graph):
         graph = graph.sort_values("g_node")
@@ -242,9 +251,11 @@ def greedy_search(asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         asks = np.frombuffer(b"".join(asked["ask"]), np.float32).reshape(len(asked), -1)
         # squared distance that rounding to bytes adds between two vectors like the query
         blur = x.shape[1] / 6 * np.square(np.abs(asks).max(1) / 127)
-        dense = []
+        width = max(BEAM, 2 * wanted)
+        wanted = min(wanted, len(ids))
+        dense = list(range(len(asks))) if 4 * wanted >= len(ids) else []
         entries = np.argpartition(-(asks @ x[pivots].T), ENTRIES - 1, 1)[:, :ENTRIES] if len(pivots) > ENTRIES else None
-        for turn, (query, q) in enumerate(zip(asked["query"], asks, strict=True)):
+        for turn, (query, q) in enumerate(zip(asked["query"], asks, strict=True)) if not dense else ():
             seen = np.zeros(len(ids), bool)
             own = np.searchsorted(ids, query)
             fresh = pivots if entries is None else pivots[entries[turn]]
@@ -257,16 +268,16 @@ def greedy_search(asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
                 seen[fresh] = True
                 beam = np.concatenate([beam, fresh])
                 sims = np.concatenate([sims, x[fresh] @ q])
-                if len(beam) > BEAM:
-                    top = np.argpartition(-sims, BEAM - 1)[:BEAM]
+                if len(beam) > width:
+                    top = np.argpartition(-sims, width - 1)[:width]
                     beam, sims = beam[top], sims[top]
                 grow = beam[~done[beam]]
                 done[grow] = True
                 fresh = np.unique(np.concatenate([lists[starts[i] : starts[i + 1]] for i in grow])) if len(grow) else grow
                 fresh = fresh[~seen[fresh]]
             far = np.square(x[beam] - q).sum(1)
-            top = np.lexsort((ids[beam], far))[:FOUND]
-            if len(top) == FOUND and far[top[-1]] <= BLURS * blur[turn]:
+            top = np.lexsort((ids[beam], far))[:wanted]
+            if len(top) < wanted or far[top[-1]] <= BLURS * blur[turn]:
                 dense.append(turn)
                 continue
             out += [(query, ids[beam[i]], -float(far[i])) for i in top]
@@ -274,9 +285,9 @@ def greedy_search(asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
             block = dense[turn : turn + SCAN_BLOCK]
             for one, sims in zip(block, asks[block] @ x.T, strict=True):
                 # products of near copies tie in floats, differences do not
-                near = np.flatnonzero(sims >= np.partition(sims, -FOUND)[-FOUND] - SLACK)
+                near = np.flatnonzero(sims >= np.partition(sims, -wanted)[-wanted] - SLACK)
                 far = np.square(x[near] - asks[one]).sum(1)
-                top = np.lexsort((ids[near], far))[:FOUND]
+                top = np.lexsort((ids[near], far))[:wanted]
                 out += [(asked["query"].iloc[one], ids[near[i]], -float(far[i])) for i in top]
     return pd.DataFrame(out, columns=["query", "node", "sim"]).astype({"query": "int64", "node": "int64", "sim": "float32"})
 
@@ -293,7 +304,7 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def nearest_neighbours(
-    rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, shard_rows: int = 16_384
+    rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, shard_rows: int = 16_384, spare: int = 7
 ) -> DataFrame:
     """``query_id``, ``rank``, ``id_col`` and ``score`` for the ids of ``queries`` (one column, ``id_col``)."""
     g = NeighbourGraph(rows, id_col, vector_col, shard_rows)
@@ -302,9 +313,9 @@ def nearest_neighbours(
     names = cut(names.distinct(), "names")
     wanted = queries.select(queries[id_col].cast("long").alias("id")).distinct()
     asked = cut(names.join(wanted, "id").select(F.col("id").alias("query_id"), F.col("node")), "asked")
-    found = cut(g.search(g.build(), asked), "found")
+    found = cut(g.search(g.build(), asked, k + spare), "found")
     best = W.Window.partitionBy("query").orderBy(F.col("sim").desc(), "node")
-    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= FOUND).select("query", "node")
+    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + spare).select("query", "node")
     vectors = g.nodes.select("node", "full")
     pairs = found.join(vectors, "node").join(vectors.select(F.col("node").alias("query"), F.col("full").alias("ask")), "query")
     scored = cut(pairs.select("query", "node", "full", "ask").mapInArrow(_score, "query long, node long, score double"), "scored")

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from sparkassay.llm.ann import NEIGHBOURS, greedy_search, nearest_neighbours
 
@@ -48,6 +49,19 @@ def test_recall_and_scores(llm):
     assert [v for _, v, _ in got[401]] == [7, 400, 402, 403, 404]
 
 
+def test_any_number_of_neighbours(llm):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(600, 16)).astype(np.float32))]
+    df = llm.createDataFrame(rows, SCHEMA).withColumn("rank", F.lit("x")).withColumn("score", F.lit(0)).withColumn("node", F.lit(1))
+    for k in (30, 150, 1000):
+        got = {}
+        for r in nearest_neighbours(df, df.where("vec_id % 100 = 0"), k=k, shard_rows=350).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        want = brute(rows, set(range(0, 600, 100)), k)
+        assert all(len(got[q]) == min(k, 599) for q in want)
+        assert sum(len(got[q] & {i for _, i in want[q]}) for q in want) >= 0.95 * sum(map(len, want.values()))
+
+
 def test_odd_vectors(llm):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (9, [0.0, 1.0]),
