@@ -54,10 +54,10 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def cut(self, df: DataFrame, name: str = "step") -> DataFrame:
-        """Write ``df`` and return it read back: later plans start from the files."""
+    def cut(self, df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
+        """Write ``df``, in folders by the column ``by`` if given, and return it read back: later plans start from the files."""
         at = self.path(name)
-        df.write.parquet(at)
+        (df.write.partitionBy(by) if by else df.write).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch_path = at  # for drop()
         return out

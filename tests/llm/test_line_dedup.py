@@ -53,8 +53,20 @@ def test_runs_are_compacted(llm):
     for i in range(4):
         keys = llm.range(i * 5, i * 5 + 10).select(F.col("id").alias("__ld_h1"), F.col("id").alias("__ld_h2"), F.col("id").alias("__ld_first"))
         runs.add(runs.absent(keys))
+        runs.compact()
     assert [len(level) for level in runs.levels] == [0, 0, 1]
     assert runs.runs()[0].count() == 25
+    runs.close()
+    assert not [t for t in llm.catalog.listTables() if "test_runs" in t.name]
+
+
+def test_more_levels_and_no_tables_left(llm):
+    rng = random.Random(5)
+    rows = [(i, "\n".join(f"this is line {rng.randint(0, 60)} of all" for _ in range(5))) for i in range(80)]
+    df = llm.createDataFrame(rows, "doc_id long, text string")
+    before = {t.name for t in llm.catalog.listTables()}
+    assert spark_rows(dedup_lines(df, batches=9, fanout=2)) == brute(rows)
+    assert {t.name for t in llm.catalog.listTables()} == before
 
 
 def test_digest_matches(llm, odd_docs):
