@@ -213,6 +213,98 @@ license-mention | 5 | 0.3 | licen | (?:licensed|released|distributed) under (?:t
 warranty-disclaimer | 12 | 0.4 | warranty | without (?:any )?warranty of any kind
 """
 
+#: Sentences of licence texts and of the notices that files carry.
+SENTENCES = r"""
+gpl-3.0 | 74 | 0.95 | copyleft license for software | the gnu general public license is a free copyleft license for software and other kinds of works
+gpl-2.0 | 74 | 0.93 | freedom to share and change | the licenses for most software are designed to take away your freedom to share and change it
+gpl-3.0 | 73 | 0.9 | anti circumvention | protecting users legal rights from anti circumvention law
+gpl-2.0 | 66 | 0.85 | mere aggregation of another | mere aggregation of another work not based on the program with the program
+gpl | 42 | 0.8 | you can redistribute it and or modify | this (?:program|file|package) is free software you can redistribute it and or modify it under the terms of the gnu general public
+gpl | 41 | 0.75 | received a copy of the gnu general | you should have received a copy of the gnu general public licen[cs]e along with
+lgpl | 46 | 0.85 | you can redistribute it and or modify | this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public
+lgpl | 46 | 0.8 | gnu lesser general | you should have received a copy of the gnu lesser general public licen[cs]e along with
+lgpl-2.1 | 73 | 0.9 | first released version of the lesser | this is the first released version of the lesser gpl
+lgpl-3.0 | 73 | 0.9 | combined work | convey a combined work under terms of your choice
+agpl-3.0 | 74 | 0.9 | remote network interaction | remote network interaction use with the gnu general public license
+agpl | 46 | 0.8 | affero | you should have received a copy of the gnu affero general public licen[cs]e along with
+gfdl | 60 | 0.9 | invariant sections | with no invariant sections(?: with)? no front cover texts and(?: with)? no back cover texts
+gpl-with-classpath | 82 | 0.93 | classpath | (?:with (?:the )?)?classpath exception(?: 2 0)?
+gpl-with-font | 81 | 0.9 | font exception | font exception(?: 2 0)?
+gpl-with-autoconf | 81 | 0.9 | autoconf | autoconf configure script output exception
+gpl-with-gcc | 81 | 0.9 | gcc runtime | gcc runtime library exception(?: version 3 1)?
+gpl-with-openssl | 80 | 0.88 | openssl | special exception .{0,60}?permission to link .{0,60}?openssl
+linux-syscall-note | 80 | 0.9 | linux syscall note | linux syscall note
+llvm-exception | 93 | 0.95 | llvm exception | (?:apache 2 0 )?with llvm exceptions?
+apache-2.0 | 72 | 0.92 | you may not use this file except | you may not use this file except in compliance with the license
+apache-2.0 | 71 | 0.9 | unless required by applicable law | unless required by applicable law or agreed to in writing software distributed under the license
+apache-2.0 | 71 | 0.9 | grant of patent license | grant of patent license subject to the terms and conditions of this license each contributor
+apache-1.1 | 71 | 0.88 | apache software foundation | this product includes software developed by the apache software foundation
+mit | 69 | 0.95 | the above copyright notice and this | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit | 58 | 0.85 | without restriction including | to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute
+mit | 57 | 0.8 | out of or in connection | arising from out of or in connection with the software or the use or other dealings in the software
+x11 | 71 | 0.9 | x consortium | except as contained in this notice the name of the x consortium shall not be used
+mit-modern | 62 | 0.8 | modern variant | mit license modern variant
+hpnd | 66 | 0.8 | permission to use copy modify | permission to use copy modify and distribute this software and its documentation for any purpose
+bsd | 56 | 0.85 | source code must retain | redistributions of source code must retain the above copyright notice
+bsd | 55 | 0.85 | binary form must reproduce | redistributions in binary form must reproduce the above copyright notice
+bsd | 54 | 0.75 | merchantability and fitness | the implied warranties of merchantability and fitness for a particular purpose are disclaimed
+bsd-3-clause-clear | 86 | 0.95 | clear bsd | (?:the )?(?:clear bsd|bsd 3 clause clear) license
+bsd-2-clause-patent | 86 | 0.95 | patent | bsd 2 clause(?: plus)? patent(?: license)?
+bsd-source-code | 70 | 0.8 | bsd source code | bsd source code attribution
+isc | 66 | 0.88 | the author disclaims all | the author disclaims all warranties with regard to this software
+zlib | 69 | 0.93 | must not be misrepresented | the origin of this software must not be misrepresented
+zlib | 68 | 0.9 | altered source versions | altered source versions must be plainly marked as such
+boost-1.0 | 72 | 0.93 | machine executable object code | works are solely in the form of machine executable object code generated by a source language processor
+unlicense | 71 | 0.92 | anyone is free to copy | anyone is free to copy modify publish use compile sell or distribute this software
+cc0-1.0 | 72 | 0.9 | waives | (?:overtly fully permanently irrevocably and )?unconditionally waives abandons and surrenders
+cc-by | 46 | 0.8 | creativecommons | creativecommons org licenses by
+cc-by-sa | 62 | 0.88 | creativecommons | creativecommons org licenses by sa
+cc-by-nc | 62 | 0.88 | creativecommons | creativecommons org licenses by nc
+cc-pdm | 84 | 0.93 | public domain mark | (?:creative commons )?public domain mark(?: 1 0)?
+cc-by-sa | 58 | 0.8 | attribution sharealike | attribution sharealike (?:international|unported|generic)
+cc-by-nc | 58 | 0.75 | attribution noncommercial | attribution noncommercial (?:international|unported|generic)
+mpl-2.0 | 82 | 0.96 | source code form is subject | this source code form is subject to the terms of the mozilla public license v 2 0
+mpl-2.0 | 70 | 0.85 | incompatible with secondary | incompatible with secondary licenses
+mpl-1.1 | 80 | 0.93 | mozilla org mpl | (?:www )?mozilla org mpl mpl 1 1
+mpl-2.0 | 80 | 0.95 | mozilla org mpl | mozilla org mpl 2 0
+epl-1.0 | 80 | 0.93 | eclipse org legal | eclipse org legal epl v10
+epl-2.0 | 80 | 0.93 | eclipse org legal | eclipse org legal epl (?:2 0|v20)
+epl | 56 | 0.85 | program and the accompanying | this program and the accompanying materials are made available under the terms of the eclipse public license
+cddl | 56 | 0.85 | cddl header start | cddl header start
+artistic-2.0 | 72 | 0.9 | perlfoundation | perlfoundation org legal licenses artistic 2 0
+artistic | 58 | 0.8 | artistic control | semblance of artistic control over the development of the package
+python-2.0 | 70 | 0.85 | beopen | beopen python open source license agreement
+ofl-1.1 | 72 | 0.92 | reserved font name | with reserved font names?
+ofl-1.1 | 71 | 0.9 | scripts sil org | scripts sil org ofl
+unicode | 72 | 0.9 | unicode inc license | unicode inc license agreement data files and software
+openssl | 70 | 0.88 | openssl toolkit | developed by the openssl project for use in the openssl toolkit
+odc-by-1.0 | 80 | 0.93 | opendatacommons | opendatacommons org licenses by 1 0
+odbl-1.0 | 80 | 0.93 | opendatacommons | opendatacommons org licenses odbl 1 0
+pddl-1.0 | 80 | 0.93 | opendatacommons | opendatacommons org licenses pddl 1 0
+cdla-permissive | 82 | 0.93 | community data license | community data license agreement permissive(?: version [12] 0)?
+cdla-sharing | 82 | 0.93 | community data license | community data license agreement sharing(?: version 1 0)?
+blueoak-1.0.0 | 84 | 0.95 | blue oak | blue oak model license(?: 1 0 0)?
+upl-1.0 | 82 | 0.93 | universal permissive | universal permissive license(?: v(?:ersion )?1 0)?
+mulan-psl | 82 | 0.93 | mulan | mulan permissive software license(?: v(?:ersion )?2)?
+cal-1.0 | 82 | 0.93 | cryptographic autonomy | cryptographic autonomy license(?: version 1 0)?
+rpl | 78 | 0.9 | reciprocal public | reciprocal public license(?: 1 [15])?
+cpal-1.0 | 82 | 0.93 | common public attribution | common public attribution license(?: version 1 0)?
+parity | 80 | 0.9 | parity public | parity public license(?: 7 0 0)?
+prosperity | 80 | 0.9 | prosperity public | prosperity public license(?: 3 0 0)?
+ncgl-uk | 80 | 0.9 | non commercial government | non commercial government licen[cs]e
+fal | 78 | 0.9 | free art license | free art license(?: 1 3)?
+beerware | 80 | 0.93 | beer | (?:the )?beer ?ware license
+hippocratic | 80 | 0.9 | hippocratic | hippocratic license(?: version)?(?: [123] [01])?
+anti-996 | 80 | 0.9 | 996 license | anti 996 license
+openmdw | 78 | 0.85 | open model | open model(?: data and)? (?:weights|data) license
+gemma-terms | 78 | 0.85 | gemma terms | gemma terms of use
+proprietary | 56 | 0.8 | trade secret | contains (?:confidential|proprietary)(?: and proprietary)? (?:information and )?trade secrets?
+proprietary | 54 | 0.7 | unauthorized copying | unauthorized copying of this file via any medium is strictly prohibited
+proprietary | 52 | 0.7 | express written | without (?:the )?(?:prior|express) written (?:permission|consent)
+research-only | 54 | 0.75 | research purposes only | for (?:non commercial )?research purposes only
+noncommercial | 52 | 0.7 | non commercial use only | for non commercial use only
+"""
+
 
 def _line(text: str) -> list[str]:
     return [x.strip() for x in text.split(" | ", 4)]
@@ -237,7 +329,7 @@ def build_rules() -> list[Rule]:
                 label.replace("{v}", v), priority, confidence, keyword,
                 pattern.replace("{v}", v.replace(".", " ")).replace("{m}", loose),
             ))
-    rules += [_rule(*_line(text)) for text in PLAIN.strip().splitlines()]
+    rules += [_rule(*_line(text)) for text in [*PLAIN.strip().splitlines(), *SENTENCES.strip().splitlines()]]
     return sorted(rules, key=lambda r: -r.priority)
 
 

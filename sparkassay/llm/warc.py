@@ -25,8 +25,11 @@ revisits are dropped.
 from __future__ import annotations
 
 import gzip
+import io
+import zlib
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +45,9 @@ KEPT_HEADERS = (
     "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade",
 )
 
+#: Bodies are sent on in batches of about so many bytes.
+SENT_BYTES = 16 << 20
+EMPTY_RECORD = {"record_id": None, "kind": None, "url": None, "at": None, "status": None, "headers": {}, "body": None, "error": None}
 CAPTURES = "record_id string, kind string, url string, at timestamp, status int, headers map<string,string>, digest string"
 
 
@@ -139,42 +145,124 @@ def _fields(head: bytes) -> tuple[str, dict[str, str]]:
     return lines[0], fields
 
 
+class _Members(io.RawIOBase):
+    """The inflated bytes of gzip members, one after the other; damage is told only when it is reached."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.member = memoryview(data), 0, None
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while self.member is not None or self.at < len(self.data):
+            if self.member is None:
+                self.member = zlib.decompressobj(31)
+            piece = self.member.unconsumed_tail
+            if not piece:
+                piece = self.data[self.at : self.at + 65536]
+                self.at += len(piece)
+            out = self.member.decompress(piece, len(into))
+            if self.member.eof:
+                self.at -= len(self.member.unused_data)
+                self.member = None
+            elif not out and not piece:
+                raise EOFError("it ends inside a gzip member")
+            if out:
+                into[: len(out)] = out
+                return len(out)
+        return 0
+
+
+def _lines_of_head(stream: BinaryIO) -> bytes | None:
+    """Header lines up to the empty one; None if the stream ends before it."""
+    lines = []
+    while line := stream.readline():
+        if line.strip() == b"":
+            return b"\r\n".join(lines)
+        lines.append(line.rstrip(b"\r\n"))
+    return None
+
+
+def _when(text: str | None) -> datetime | None:
+    try:
+        return datetime.strptime((text or "")[:19], "%Y-%m-%dT%H:%M:%S").replace(tzinfo=timezone.utc)
+    except ValueError:
+        return None
+
+
 def read_records(data: bytes) -> Iterator[dict]:
-    """Response and revisit records of a WARC file, gzipped by record or plain."""
+    """Response and revisit records of a WARC file, gzipped by record or plain, inflated one at a time.
+
+    What cannot be read becomes a row with an ``error``; reading goes on at the next
+    line that begins a record.
+    """
+    stream: BinaryIO = io.BytesIO(data)
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+        stream = io.BufferedReader(_Members(data))
+    try:
+        yield from _read_stream(stream)
+    except (OSError, EOFError, zlib.error) as e:
+        yield EMPTY_RECORD | {"error": f"damaged file: {e}"}
+
+
+def _read_stream(stream: BinaryIO) -> Iterator[dict]:
+    lost = False
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            if line.strip() and not lost:
+                lost = True
+                yield EMPTY_RECORD | {"error": "no record header"}
+            continue
+        head = _lines_of_head(stream)
+        if head is None:
+            yield EMPTY_RECORD | {"error": "truncated header"}
+            return
+        _, fields = _fields(line.rstrip() + b"\r\n" + head)
+        kind = fields.get("warc-type")
+        record = EMPTY_RECORD | {"record_id": fields.get("warc-record-id", "").strip("<>"), "kind": kind, "url": fields.get("warc-target-uri"), "at": _when(fields.get("warc-date"))}
+        size = fields.get("content-length", "")
+        if not (size.isascii() and size.isdigit()):
+            lost = True  # said here; what follows is passed over up to the next record
+            yield record | {"error": "bad Content-Length"}
+            continue
+        block = stream.read(int(size))
+        lost = False
+        if len(block) < int(size):
+            yield record | {"error": "truncated block"}
             return
-        _, head = _fields(data[at:end])
-        size = int(head.get("content-length", "0"))
-        block = data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        if head.get("warc-type") in ("response", "revisit"):
-            http, _, body = block.partition(b"\r\n\r\n")
-            first, headers = _fields(http)
-            words = first.split()
-            yield {
-                "record_id": head.get("warc-record-id", "").strip("<>"), "kind": head["warc-type"], "url": head.get("warc-target-uri"),
-                "at": datetime.strptime(head["warc-date"][:19], "%Y-%m-%dT%H:%M:%S").replace(tzinfo=timezone.utc),
-                "status": int(words[1]) if len(words) > 1 and words[1].isdigit() else None, "headers": headers, "body": body,
-            }
+        if kind not in ("response", "revisit"):
+            continue
+        http, _, body = block.partition(b"\r\n\r\n")
+        first, headers = _fields(http)
+        words = first.split()
+        status = int(words[1]) if len(words) > 1 and words[1].isascii() and words[1].isdigit() else None
+        error = None if record["at"] else "bad WARC-Date"
+        yield record | {"status": status, "headers": headers, "body": body, "error": error}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Captures with their ``body`` from WARC files; a file is read by one task."""
-    schema = CAPTURES.replace(", digest string", "") + ", body binary"
+    """Captures with their ``body`` and ``error`` from WARC files; a file is read by one task.
+
+    ``resolve_revisits`` takes the rows as they are: one without a time is never a
+    match, one without a kind is passed over.
+    """
+    schema = CAPTURES.replace(", digest string", "") + ", body binary, error string"
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([
             ("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("at", pa.timestamp("us", "UTC")),
-            ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary()),
+            ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary()), ("error", pa.string()),
         ])
         for b in batches:
             for data in b.column(0):
-                rows = [r | {"headers": list(r["headers"].items())} for r in read_records(data.as_py())]
+                rows, held = [], 0
+                for r in read_records(data.as_py()):
+                    rows.append(r | {"headers": list(r["headers"].items())})
+                    held += len(r["body"] or b"")
+                    if held > SENT_BYTES or len(rows) >= 1000:
+                        yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+                        rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, schema)

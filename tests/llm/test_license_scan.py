@@ -38,6 +38,56 @@ def test_priority_and_containment():
     assert len(RULES) >= 200 and [r.priority for r in RULES] == sorted((r.priority for r in RULES), reverse=True)
 
 
+def plain_detect(normal):
+    """Every rule on every text, no gates; one by one, none inside one taken before."""
+    found = [(-r.priority, m.start() - m.end(), m.start(), r.label, m.end()) for r in RULES for m in r.pattern.finditer(normal)]
+    taken = []
+    for _, _, lo, label, hi in sorted(found):
+        if not any(a <= lo and hi <= b for a, b, _ in taken):
+            taken.append((lo, hi, label))
+    return sorted((normal[:lo].count(b" ") - 1, normal[:hi].count(b" "), label) for lo, hi, label in taken)
+
+
+def test_detections_against_every_rule_without_gates():
+    import random
+
+    rng = random.Random(12)
+    parts = [b"gnu", b"general public license", b"version 3", b"or later", b"cc by", b"nc sa 4 0", b"mit license", b"the", b"apache license version 2 0", b"bsd 3 clause",
+             b"permission to use copy modify", b"and distribute this software and its documentation for any purpose", b"all rights reserved", b"mozilla public license v 2 0",
+             b"this source code form is subject to the terms of the", b"eupl 1 2", b"word", b"this is free and unencumbered software released into the public domain"]
+    for _ in range(300):
+        normal = b" " + b" ".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) + b" "
+        got = sorted((a, b, label) for a, b, _, label, _ in detect(normal))
+        assert got == plain_detect(normal)
+
+
+def test_every_rule_finds_what_it_is_written_for():
+    """A text made from each rule's own words holds its keyword, so no gate shuts out its own rule."""
+    for rule in RULES:
+        pattern = rule.pattern.pattern.decode()[len("(?<= )(?:") : -len(")(?= )")]
+        assert rule.keyword.decode() in re.sub(r"\(\?:|\)|\?", "", pattern) or rule.keyword.decode().split()[0] in pattern, rule
+
+
+NOTICES = {
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": "lgpl",
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.": "apache-2.0",
+    "SPDX: GPL-2.0-or-later WITH Classpath-exception-2.0": "gpl-2.0-or-later,gpl-with-classpath",
+    "Redistributions of source code must retain the above copyright notice": "bsd",
+    "Community Data License Agreement - Permissive - Version 2.0": "cdla-permissive",
+    "The Universal Permissive License (UPL), Version 1.0": "",
+    "released under the terms of the MIT license": "mit",
+    "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa-4.0",
+    "Blue Oak Model License 1.0.0": "blueoak-1.0.0",
+}
+
+
+def test_notices():
+    for text, want in NOTICES.items():
+        labels = set(filter(None, scan(text)[5].split(",")))
+        assert set(filter(None, want.split(","))) <= labels, (text, labels)
+
+
 def test_cover_against_brute_force():
     import random
 

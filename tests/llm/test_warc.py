@@ -1,6 +1,9 @@
+import gzip
 import random
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import functions as F
+
 from sparkassay.llm.warc import CAPTURES, canonical_url, read_records, read_warc, resolve_revisits, write_record
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -11,8 +14,6 @@ def frame(llm, rows):
 
 
 def test_canonical_urls(llm):
-    from pyspark.sql import functions as F
-
     pairs = {
         "HTTP://www.Example.COM:80/a/?b=2&a=1&utm_source=x#top": "example.com/a?a=1&b=2", "https://example.com": "example.com/", "https://example.com/": "example.com/",
         "http://example.com:8080/x//": "example.com:8080/x", "https://u:p@example.com/q?": "example.com/q", "no url": None, None: None, "http://m.example.com/a?ref=x": "m.example.com/a?ref=x",
@@ -80,3 +81,32 @@ def test_round_trip_of_files(llm, tmp_path):
     assert caps.count() == 2
     got = resolve_revisits(caps.drop("body")).collect()
     assert [(r.record_id, r.resolution, r.response_id) for r in got] == [("urn:2", "resolved", "urn:1")]
+
+
+def test_records_that_do_not_parse(llm, tmp_path):
+    """Each becomes a row with an error; the records after it are read."""
+    good = lambda n: gzip.decompress(write_record("response", f"urn:{n}", "http://e.com/", T0, 200, {"ETag": '"1"'}, b"body"))
+    no_date = good(2).replace(b"WARC-Date: ", b"X-Date: ")
+    bad_date = good(3).replace(b"WARC-Date: 2", b"WARC-Date: x")
+    bad_size = good(4).replace(b"Content-Length: ", b"Content-Length: -")
+    data = good(1) + no_date + bad_date + bad_size + b"junk\r\nmore junk\r\n" + good(5) + good(6)[:-20]
+    got = [(r["record_id"], r["error"], r["at"] is None) for r in read_records(data)]
+    assert got == [
+        ("urn:1", None, False), ("urn:2", "bad WARC-Date", True), ("urn:3", "bad WARC-Date", True), ("urn:4", "bad Content-Length", False),
+        ("urn:5", None, False), ("urn:6", "truncated block", False),
+    ]
+    assert [r["error"] for r in read_records(b"junk" + good(1))] == ["no record header"]
+    assert [r["error"] for r in read_records(good(1)[:30])] == ["truncated header"]
+    packed = write_record("response", "urn:7", "http://e.com/", T0, 200, {}, b"x" * 5000)
+    assert [(r["record_id"], (r["error"] or "")[:12]) for r in read_records(packed + packed[:60])][0] == ("urn:7", "")
+    assert "damaged" in [r["error"] for r in read_records(packed + packed[:60])][-1]
+    assert list(read_records(b"")) == []
+    (tmp_path / "b.warc").write_bytes(data)
+    caps = read_warc(llm, str(tmp_path / "b.warc"))
+    assert caps.where("error IS NULL").count() == 2 and resolve_revisits(caps.drop("body")).count() == 0
+
+
+def test_clashing_columns(llm):
+    rows = [("a", "response", "http://e.com/", T0, 200, {"ETag": '"1"'}, "d"), ("b", "revisit", "http://e.com/", T0 + timedelta(days=1), 304, {"ETag": '"1"'}, None)]
+    caps = frame(llm, rows).withColumn("resolution", F.lit(3)).withColumn("block", F.lit("x")).withColumn("full", F.lit(1)).withColumn("canonical_url", F.lit("no"))
+    assert [(r.record_id, r.resolution, r.response_id) for r in resolve_revisits(caps).collect()] == [("b", "resolved", "a")]
