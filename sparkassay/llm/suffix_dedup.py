@@ -389,7 +389,7 @@ def remove_repeats(
     name = "suffix_" + at.rsplit("/", 2)[-2].replace("-", "_")
     (
         one.withColumn("shard", number).repartition(files, "shard").write.bucketBy(files, "shard").sortBy("shard")
-        .option("path", at).option("compression", "zstd").saveAsTable(name)
+        .option("path", at).saveAsTable(name)
     )
     table = spark.table(name)
 
