@@ -69,6 +69,10 @@ class Scratch:
             if at:
                 self.remove(at)
 
+    def forget(self) -> None:
+        """Let the driver notice that finished shuffles have no reader left, so executors delete their files."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def remove(self, at: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(at)

@@ -44,7 +44,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkassay.llm._store import Scratch, partitions
+from sparkassay.llm._store import Scratch
 from sparkassay.llm._words import mix, powers, prefix_sums, span_hashes
 from sparkassay.llm.suffix import DEPTH, substring_classes
 
@@ -156,12 +156,11 @@ class Shard:
             a = b
         return out
 
-    def holders(self, docs: np.ndarray) -> np.ndarray:
-        """Ids and whether there is none, 9 bytes a document, as rows."""
-        return np.concatenate([self.ids[docs].view(np.uint8).reshape(-1, 8), self.none[docs].astype(np.uint8)[:, None]], 1)
-
     def by_bucket(self, kind: str, shard: int, keys: np.ndarray, data: np.ndarray, docs: np.ndarray | None) -> Iterator[tuple]:
-        """One row for each bucket (the high half of sorted ``keys``) that has entries."""
+        """One row for each bucket (the high half of sorted ``keys``) that has entries.
+
+        For kinds c and w ``docs`` are documents: sent are their ids, and a bit each for having none.
+        """
         if not len(keys):
             return
         bucket = (keys >> np.uint64(32)).astype(np.int64) if kind in "gm" else (keys % self.buckets).astype(np.int64)
@@ -170,7 +169,10 @@ class Shard:
         at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         for a, b in zip(at, np.append(at[1:], len(bucket)), strict=True):
             part = o[a:b]
-            yield kind, int(bucket[a]), shard, data[part].tobytes(), docs[part].tobytes() if docs is not None else None
+            beside = None if docs is None else docs[part].tobytes()
+            if kind in "cw":
+                beside = self.ids[docs[part]].tobytes() + np.packbits(self.none[docs[part]]).tobytes()
+            yield kind, int(bucket[a]), shard, data[part].tobytes(), beside
 
     def answers(self, rows: pd.DataFrame, kind: str, keys: np.ndarray) -> np.ndarray:
         """Bits for the entries of sorted ``keys``, from the answers to what by_bucket sent."""
@@ -239,7 +241,7 @@ def send_contexts(shard: Shard, number: int) -> list[tuple]:
     at = np.sort(first)
     second = np.empty(len(shard.doc), np.uint64)
     second[at] = shard.second(shard.first[at], shard.last[at] + DEPTH)
-    out = list(shard.by_bucket("c", number, keys, np.stack([keys, second[first]], 1), shard.holders(shard.doc[first])))
+    out = list(shard.by_bucket("c", number, keys, np.stack([keys, second[first]], 1), shard.doc[first]))
     grams, where = np.unique(shard.gram, return_inverse=True)
     low, high = np.full(len(grams), LOW, np.uint64), np.zeros(len(grams), np.uint64)
     np.minimum.at(low, where, shard.context >> np.uint64(32))
@@ -262,7 +264,7 @@ def send_strings(shard: Shard, number: int, rows: pd.DataFrame) -> list[tuple]:
     at = np.sort(first)
     second = np.empty(len(place), np.uint64)
     second[at] = shard.second(place[at], place[at] + DEPTH)
-    return list(shard.by_bucket("w", number, keys, np.stack([keys, second[first]], 1), shard.holders(shard.doc[run[first]])))
+    return list(shard.by_bucket("w", number, keys, np.stack([keys, second[first]], 1), shard.doc[run[first]]))
 
 
 def open_strings(shard: Shard, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -335,9 +337,8 @@ def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         bits = [_found(mixed, x[:, 0]) for x in lists]
     else:
         lists = [np.frombuffer(d, np.uint64).reshape(-1, 2) for d in pdf.data]
-        held = [np.frombuffer(d, np.uint8).reshape(-1, 9) for d in pdf.docs]
-        docs = [np.ascontiguousarray(h[:, :8]).view(np.int64).ravel() for h in held]
-        none = [h[:, 8].astype(bool) for h in held]
+        docs = [np.frombuffer(d, np.int64, len(x)) for d, x in zip(pdf.docs, lists, strict=True)]
+        none = [np.unpackbits(np.frombuffer(d, np.uint8, offset=8 * len(x)), count=len(x)).astype(bool) for d, x in zip(pdf.docs, lists, strict=True)]
         every, ids, no_id = np.concatenate(lists), np.concatenate(docs), np.concatenate(none)
         o = np.lexsort((ids, no_id, every[:, 1], every[:, 0]))
         every, ids, no_id = every[o], ids[o], no_id[o]
@@ -353,6 +354,20 @@ def merge(pdf: pd.DataFrame) -> pd.DataFrame:
     return _frame([(kind, b, s, np.packbits(x).tobytes(), None) for b, s, x in zip(pdf.bucket, pdf.shard, bits, strict=True)])
 
 
+def merge_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``merge`` of each bucket in rows sorted by kind and bucket; one bucket is held at a time."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        change = (b.kind != b.kind.shift()) | (b.bucket != b.bucket.shift())
+        for _, part in b.groupby(change.cumsum(), sort=False):
+            if held and (held[0].kind.iloc[0], held[0].bucket.iloc[0]) != (part.kind.iloc[0], part.bucket.iloc[0]):
+                yield merge(pd.concat(held))
+                held = []
+            held.append(part)
+    if held:
+        yield merge(pd.concat(held))
+
+
 def _found(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Which of ``x`` are in the sorted keys, by binary search."""
     if not len(sorted_keys):
@@ -392,6 +407,7 @@ def remove_repeats(
         .option("path", at).saveAsTable(name)
     )
     table = spark.table(name)
+    scratch.forget()
 
     def with_answers(rows: DataFrame, step, schema: str) -> DataFrame:
         rows = rows.select(*(F.col(c).alias(f"a_{c}" if c == "shard" else c) for c in rows.columns))
@@ -421,10 +437,14 @@ def remove_repeats(
         return settle(Shard(pdf, buckets), rows, keep_text)
 
     # partitions by the number of buckets, so that a task's share does not grow with the table
-    wide = max(partitions(spark), min(2 * buckets, MOST_PARTITIONS))
+    wide = min(buckets, MOST_PARTITIONS)
 
     def merged(rows: DataFrame, label: str) -> DataFrame:
-        return scratch.cut(rows.repartition(wide, "kind", "bucket").groupBy("kind", "bucket").applyInPandas(merge, ROWS), label)
+        # dealt by number and not by hash: no partition has two buckets of a kind while another has none
+        dealt = rows.repartitionById(wide, F.pmod("bucket", F.lit(wide))).sortWithinPartitions("kind", "bucket", "shard")
+        out = scratch.cut(dealt.mapInPandas(merge_runs, ROWS), label)
+        scratch.forget()
+        return out
 
     grams = merged(table.groupBy("shard").applyInPandas(first, ROWS), "grams")
     known = merged(with_answers(grams, second, ROWS), "contexts")
