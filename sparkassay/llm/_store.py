@@ -7,6 +7,7 @@ costs a retry of a task and never the data of an earlier step.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -70,7 +71,11 @@ class Scratch:
                 self.remove(at)
 
     def forget(self) -> None:
-        """Let the driver notice that finished shuffles have no reader left, so executors delete their files."""
+        """Let the driver notice which shuffles no plan can read any more, so executors delete their files.
+
+        Spark frees them when the driver's collector finds them unused, which a driver with little to do may put off.
+        """
+        gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
     def remove(self, at: str) -> None:

@@ -441,8 +441,9 @@ def remove_repeats(
 
     def merged(rows: DataFrame, label: str) -> DataFrame:
         # dealt by number and not by hash: no partition has two buckets of a kind while another has none
-        dealt = rows.repartitionById(wide, F.pmod("bucket", F.lit(wide))).sortWithinPartitions("kind", "bucket", "shard")
-        out = scratch.cut(dealt.mapInPandas(merge_runs, ROWS), label)
+        rows = rows.repartitionById(wide, F.pmod("bucket", F.lit(wide))).sortWithinPartitions("kind", "bucket", "shard")
+        out = scratch.cut(rows.mapInPandas(merge_runs, ROWS), label)
+        del rows
         scratch.forget()
         return out
 
