@@ -21,9 +21,9 @@ strings in a row that name the same gram are a run; its text is the run's contex
 
 What moves is about 4 bytes for every 16 of text, and more only for repeated text.
 A gram, context or string found in a third of all documents is sent once a shard.
-Across shards a context or string is known by 128 bits, two polynomials with
+Across shards a context or string is known by 96 bits of two polynomials with
 independent bases: among 2**42 different strings, a false match anywhere has a
-chance of about 2**-44.  Grams only choose what is compared.
+chance of about 2**-13.  Grams only choose what is compared.
 
 Ids are whole numbers of any size a long holds.  Defined results: null or empty
 text has no bytes and stays; texts below 50 bytes lose nothing; rows that share an
@@ -156,11 +156,16 @@ class Shard:
             a = b
         return out
 
-    def by_bucket(self, kind: str, shard: int, keys: np.ndarray, data: np.ndarray, docs: np.ndarray | None) -> Iterator[tuple]:
-        """One row for each bucket (the high half of sorted ``keys``) that has entries.
+    def holders(self, docs: np.ndarray) -> bytes:
+        """Ids of documents: how many different ones, these, a bit each for having none, and a number for each document."""
+        own, at = np.unique(docs, return_inverse=True)
+        kind = np.uint16 if len(own) <= 1 << 16 else np.uint32
+        return np.uint32(len(own)).tobytes() + self.ids[own].tobytes() + np.packbits(self.none[own]).tobytes() + at.astype(kind).tobytes()
 
-        For kinds c and w ``docs`` are documents: sent are their ids, and a bit each for having none.
-        """
+    def by_bucket(
+        self, kind: str, shard: int, keys: np.ndarray, data: np.ndarray, beside: np.ndarray | None = None, docs: np.ndarray | None = None
+    ) -> Iterator[tuple]:
+        """One row for each bucket (the high half of sorted ``keys``) that has entries; ``docs`` are sent as their ids."""
         if not len(keys):
             return
         bucket = (keys >> np.uint64(32)).astype(np.int64) if kind in "gm" else (keys % self.buckets).astype(np.int64)
@@ -169,10 +174,8 @@ class Shard:
         at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         for a, b in zip(at, np.append(at[1:], len(bucket)), strict=True):
             part = o[a:b]
-            beside = None if docs is None else docs[part].tobytes()
-            if kind in "cw":
-                beside = self.ids[docs[part]].tobytes() + np.packbits(self.none[docs[part]]).tobytes()
-            yield kind, int(bucket[a]), shard, data[part].tobytes(), beside
+            more = beside[part].tobytes() if beside is not None else b""
+            yield kind, int(bucket[a]), shard, data[part].tobytes() + more, None if docs is None else self.holders(docs[part])
 
     def answers(self, rows: pd.DataFrame, kind: str, keys: np.ndarray) -> np.ndarray:
         """Bits for the entries of sorted ``keys``, from the answers to what by_bucket sent."""
@@ -241,13 +244,13 @@ def send_contexts(shard: Shard, number: int) -> list[tuple]:
     at = np.sort(first)
     second = np.empty(len(shard.doc), np.uint64)
     second[at] = shard.second(shard.first[at], shard.last[at] + DEPTH)
-    out = list(shard.by_bucket("c", number, keys, np.stack([keys, second[first]], 1), shard.doc[first]))
+    out = list(shard.by_bucket("c", number, keys, keys, (second[first] & LOW).astype(np.uint32), shard.doc[first]))
     grams, where = np.unique(shard.gram, return_inverse=True)
     low, high = np.full(len(grams), LOW, np.uint64), np.zeros(len(grams), np.uint64)
     np.minimum.at(low, where, shard.context >> np.uint64(32))
     np.maximum.at(high, where, shard.context >> np.uint64(32))
     both = np.stack([(grams & LOW).astype(np.uint32), low.astype(np.uint32), high.astype(np.uint32)], 1)
-    return out + list(shard.by_bucket("m", number, grams, both, None))
+    return out + list(shard.by_bucket("m", number, grams, both))
 
 
 def open_runs(shard: Shard, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +267,7 @@ def send_strings(shard: Shard, number: int, rows: pd.DataFrame) -> list[tuple]:
     at = np.sort(first)
     second = np.empty(len(place), np.uint64)
     second[at] = shard.second(place[at], place[at] + DEPTH)
-    return list(shard.by_bucket("w", number, keys, np.stack([keys, second[first]], 1), shard.doc[run[first]]))
+    return list(shard.by_bucket("w", number, keys, keys, (second[first] & LOW).astype(np.uint32), shard.doc[run[first]]))
 
 
 def open_strings(shard: Shard, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -320,8 +323,8 @@ def merge(pdf: pd.DataFrame) -> pd.DataFrame:
     if kind == "s":
         return _frame(list(pdf[["kind", "bucket", "shard", "data", "docs"]].itertuples(index=False, name=None)))
     if kind == "g":
-        lists = [np.frombuffer(d, np.uint32) for d in pdf.data]
-        twice = [np.frombuffer(d, np.uint8).astype(bool) for d in pdf.docs]
+        lists = [np.frombuffer(d, np.uint32, len(d) // 5) for d in pdf.data]
+        twice = [np.frombuffer(d, np.uint8, offset=4 * len(x)).astype(bool) for d, x in zip(pdf.data, lists, strict=True)]
         every = np.sort(np.concatenate(lists))
         again = every[1:][every[1:] == every[:-1]]
         shared = np.unique(np.concatenate([again, *(x[t] for x, t in zip(lists, twice, strict=True))]))
@@ -336,24 +339,34 @@ def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         mixed = grams[low != high]
         bits = [_found(mixed, x[:, 0]) for x in lists]
     else:
-        lists = [np.frombuffer(d, np.uint64).reshape(-1, 2) for d in pdf.data]
-        docs = [np.frombuffer(d, np.int64, len(x)) for d, x in zip(pdf.docs, lists, strict=True)]
-        none = [np.unpackbits(np.frombuffer(d, np.uint8, offset=8 * len(x)), count=len(x)).astype(bool) for d, x in zip(pdf.docs, lists, strict=True)]
-        every, ids, no_id = np.concatenate(lists), np.concatenate(docs), np.concatenate(none)
-        o = np.lexsort((ids, no_id, every[:, 1], every[:, 0]))
-        every, ids, no_id = every[o], ids[o], no_id[o]
+        lists = [np.frombuffer(d, np.uint64, len(d) // 12) for d in pdf.data]
+        seconds = [np.frombuffer(d, np.uint32, offset=8 * len(x)) for d, x in zip(pdf.data, lists, strict=True)]
+        docs, none = zip(*(_read_holders(d) for d in pdf.docs), strict=True)
+        every, beside, ids, no_id = (np.concatenate(x) for x in (lists, seconds, docs, none))
+        o = np.lexsort((ids, no_id, beside, every))
+        every, beside, ids, no_id = every[o], beside[o], ids[o], no_id[o]
         first = np.ones(len(every), bool)
-        first[1:] = (every[1:] != every[:-1]).any(1)
-        keys, least, unheld = every[first], ids[first], no_id[first]
+        first[1:] = (every[1:] != every[:-1]) | (beside[1:] != beside[:-1])
+        keys, second, least, unheld = every[first], beside[first], ids[first], no_id[first]
         bits = []
-        for x, d, n in zip(lists, docs, none, strict=True):
-            at = np.searchsorted(keys[:, 0], x[:, 0])
-            while len(off := np.flatnonzero(keys[at, 1] != x[:, 1])):  # keys that agree in 64 bits only
+        for x, y, d, n in zip(lists, seconds, docs, none, strict=True):
+            at = np.searchsorted(keys, x)
+            while len(off := np.flatnonzero(second[at] != y)):  # keys that agree in 64 bits only
                 at[off] += 1
             bits.append(~unheld[at] & (n | (d > least[at])))
     return _frame([(kind, b, s, np.packbits(x).tobytes(), None) for b, s, x in zip(pdf.bucket, pdf.shard, bits, strict=True)])
 
 
+def _read_holders(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, whether there is none) as Shard.holders packed them."""
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    bits = -(-n // 8)
+    ids = np.frombuffer(data, np.int64, n, 4)
+    none = np.unpackbits(np.frombuffer(data, np.uint8, bits, 4 + 8 * n), count=n).astype(bool)
+    at = np.frombuffer(data, np.uint16 if n <= 1 << 16 else np.uint32, offset=4 + 8 * n + bits)
+    return ids[at], none[at]
+
+
 def merge_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """``merge`` of each bucket in rows sorted by kind and bucket; one bucket is held at a time."""
     held: list[pd.DataFrame] = []
