@@ -6,8 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from sparkassay.operators.quantiles import at_rank, interpolated, ranked_slots
+
 #: Leading hex digits of an md5 that make a bucket: 4096 of them, all equally likely.
 HEX = 3
 
@@ -39,18 +42,40 @@ def shuffled(df: DataFrame, id_col: str, seed: int = 42, by: Sequence[str] = ())
     )
 
 
-def _cells(df: DataFrame, col: str, cells: int) -> Column:
-    """Number of the cell of a numeric column between approximate quantiles; at most ``cells`` numbers reach the driver."""
-    cuts = sorted(set(df.approxQuantile(col, [i / cells for i in range(1, cells)], 0.001)))
+#: Cells of ties within one cell of values.
+TIE_CELLS = 64
+
+
+def _cells(df: DataFrame, order: Sequence[str], cells: int, descending: bool = False) -> Column:
+    """Number of the cell of a row in an order by a numeric column and its tie-breakers.
+
+    Cells lie between approximate quantiles.  A value that spans cells gets one of
+    its own, cut again by the first tie-breaker where that is a number, so a value
+    that a third of all rows have is no single task.  At most ``cells`` numbers of
+    each column reach the driver.
+    """
+    col = order[0]
+    found = df.approxQuantile(col, [i / cells for i in range(1, cells)], 0.001)
+    cuts = sorted(set(found))
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(col)))
+    hot = sorted({c for c in cuts if found.count(c) > 1})
+    cell = 2 * F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(col)))
+    if not hot:
+        return -cell if descending else cell
+    is_hot = F.col(col).isin(*hot)
+    # a hot value ends its cell of smaller ones
+    cell = cell + F.when(is_hot, 1).otherwise(0)
+    cell = (-cell if descending else cell) * (TIE_CELLS + 1)
+    if len(order) < 2 or not isinstance(df.schema[order[1]].dataType, T.NumericType):
+        return cell
+    ties = sorted(set(df.where(is_hot).approxQuantile(order[1], [i / TIE_CELLS for i in range(1, TIE_CELLS)], 0.01)))
+    return cell + F.when(is_hot, F.size(F.filter(F.array(*map(F.lit, ties)), lambda c: c < F.col(order[1])))).otherwise(0) if ties else cell
 
 
 def ranked(df: DataFrame, col: str, ties: str, descending: bool = False, cells: int = 64) -> DataFrame:
     """``rank_no`` (from 1) and ``rank_n`` over the whole table by a numeric column, ties by ``ties``."""
-    cell = _cells(df, col, cells)
-    marked = df.withColumn("__cell", -cell if descending else cell)
+    marked = df.withColumn("__cell", _cells(df, [col, ties], cells, descending))
     order = F.col(col).desc() if descending else F.col(col)
     w = W.Window.partitionBy("__cell").orderBy(order, ties)
     out = _with_offsets(marked, "__cell", F.lit(1), ())
@@ -59,7 +84,7 @@ def ranked(df: DataFrame, col: str, ties: str, descending: bool = False, cells:
 
 def running_sum(df: DataFrame, order: Sequence[str], value: Column, out: str = "running", cells: int = 64) -> DataFrame:
     """Sum of ``value`` over all rows up to this one, in the order of a numeric column and its tie-breakers."""
-    marked = df.withColumn("__cell", _cells(df, order[0], cells))
+    marked = df.withColumn("__cell", _cells(df, order, cells))
     w = W.Window.partitionBy("__cell").orderBy(*order).rowsBetween(W.Window.unboundedPreceding, 0)
     return _with_offsets(marked, "__cell", value, ()).withColumn(out, F.col("__before") + F.sum(value).over(w)).drop("__cell", "__before", "__all")
 
@@ -121,13 +146,10 @@ def group_order(df: DataFrame, group: str, seed: int = 42) -> DataFrame:
 
 def rank_quartiles(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Median and the values at places floor(n/4) and floor(3n/4) of the sorted group, without interpolation."""
-    w = W.Window.partitionBy(*by)
-    no = F.row_number().over(w.orderBy(value)) - 1
-    out = df.where(F.col(value).isNotNull()).withColumn("__no", no).withColumn("__n", F.count(F.lit(1)).over(w))
-    return out.groupBy(*by).agg(
-        F.max("__n").alias("n"), F.median(value).alias("median"),
-        F.max(F.when(F.col("__no") == F.floor(F.col("__n") / 4), F.col(value))).alias("q1"),
-        F.max(F.when(F.col("__no") == F.floor(3 * F.col("__n") / 4), F.col(value))).alias("q3"),
+    slots = ranked_slots(df, by, value, [0.25, 0.5, 0.75])
+    n = F.col("n")
+    return slots.groupBy(*by).agg(
+        F.max("n").alias("n"), interpolated(0.5).alias("median"), at_rank(F.floor(n / 4)).alias("q1"), at_rank(F.floor(3 * n / 4)).alias("q3")
     )
 
 

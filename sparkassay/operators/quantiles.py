@@ -1,58 +1,92 @@
 """Exact quantiles of groups of any size.
 
 Spark's own ``percentile`` keeps the distinct values of a group in one task's
-memory, which suits groups of millions.  Here a group is cut into cells between
-approximate quantiles (a mergeable sketch); rows get their rank from a sort inside
-their cell plus the sizes of earlier cells.  No task holds more than a cell, and
-what is joined back is one row for each group and cell.
+memory, which suits groups of millions.  Here a mergeable sketch first gives, for
+each quantile, two values that hold it between them; a second pass counts what lies
+outside and keeps only the distinct values between, which are few.  Their running
+counts give the exact value of every rank.  What is shuffled is partial counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from sparkassay.operators.stats import number
+#: Width in robust sigmas, and the factor that makes MAD a sigma.
+ROBUST_K = 6.0
+MAD_TO_SIGMA = 1.4826
 
 
-def ranked_in_groups(df: DataFrame, by: Sequence[str], value: str, cells: int = 64, accuracy: int = 1000) -> DataFrame:
-    """(by, x, no, n): every value that is not missing with its place from 0 in its group, and the group's size.
+def number(col: str | Column) -> Column:
+    """A double in which NaN is missing."""
+    c = (F.col(col) if isinstance(col, str) else col).cast("double")
+    return F.when(~F.isnan(c), c)
 
-    Ties share a cell; among equal values the order is open, which no quantile sees.
+
+def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group columns in which null is a group; without columns ``right`` is one row."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))
+    renamed = right.select(*(F.col(c).alias(f"__g_{c}") for c in by), *(c for c in right.columns if c not in by))
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+    return left.join(renamed, on, how).drop(*(f"__g_{c}" for c in by))
+
+
+def ranked_slots(df: DataFrame, by: Sequence[str], value: str | Column, shares: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """(by, x, start, c, n): values near the given shares of each group, with the rank from 0 of the first and how often they stand.
+
+    Groups of at most ``accuracy`` values are given whole.  In larger ones the sketch
+    errs by n / accuracy ranks, so a bracket of four times that holds every rank within
+    two of the wanted one.
     """
+    by = list(by)
     rows = df.select(*by, number(value).alias("x")).where("x IS NOT NULL")
-    steps = F.array(*[F.lit(i / cells) for i in range(1, cells)])
-    cuts = rows.groupBy(*by).agg(F.percentile_approx("x", steps, accuracy).alias("cuts"))
-    marked = rows.join(cuts, list(by)) if by else rows.crossJoin(F.broadcast(cuts))  # one row
-    marked = marked.withColumn("cell", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
-    sizes = marked.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("c"))
-    run = W.Window.partitionBy(*by).orderBy("cell").rowsBetween(W.Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("c").over(run), F.lit(0))).withColumn("n", F.sum("c").over(W.Window.partitionBy(*by)))
-    inside = W.Window.partitionBy(*by, "cell").orderBy("x")
-    return marked.join(sizes.drop("c"), [*by, "cell"]).withColumn("no", F.col("before") + F.row_number().over(inside) - 1).select(*by, "x", "no", "n")
-
-
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float], cells: int = 64) -> DataFrame:
+    edges = [min(1.0, max(0.0, s + d * 4 / accuracy)) for s in sorted(shares) for d in (-1, 1)]
+    cuts = rows.groupBy(*by).agg(F.percentile_approx("x", F.array(*map(F.lit, edges)), accuracy).alias("cuts"), F.count(F.lit(1)).alias("n"))
+    marked = join_groups(rows, cuts, by)
+    x, cut = F.col("x"), F.col("cuts")
+    inside = F.col("n") <= accuracy
+    for i in range(0, len(edges), 2):
+        inside = inside | ((x >= cut[i]) & (x <= cut[i + 1]))
+    # in order of (region, slot): outside values of a region are all below its one edge
+    region = F.when(F.col("n") > accuracy, F.size(F.filter(cut, lambda e: e < x))).otherwise(0)
+    counts = marked.select(*by, "n", region.alias("region"), F.when(inside, x).alias("slot")).groupBy(*by, "n", "region", "slot").agg(F.count(F.lit(1)).alias("c"))
+    run = W.Window.partitionBy(*by).orderBy("region", F.col("slot").asc_nulls_first()).rowsBetween(W.Window.unboundedPreceding, -1)
+    return counts.withColumn("start", F.coalesce(F.sum("c").over(run), F.lit(0))).where("slot IS NOT NULL").select(*by, F.col("slot").alias("x"), "start", "c", "n")
+
+
+def at_rank(rank: Column) -> Column:
+    """Aggregate over ranked slots: the value of a rank, an expression of ``n``."""
+    return F.max(F.when((F.col("start") <= rank) & (rank < F.col("start") + F.col("c")), F.col("x")))
+
+
+def interpolated(share: float) -> Column:
+    """Aggregate over ranked slots: the linearly interpolated quantile."""
+    at = F.lit(float(share)) * (F.col("n") - 1)
+    low, high = at_rank(F.floor(at)), at_rank(F.ceil(at))
+    return low + (high - low) * F.max(at - F.floor(at))
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, shares: Sequence[float], accuracy: int = 10_000) -> DataFrame:
     """(by, n, q): linearly interpolated quantiles of each group, in the order of ``shares``."""
-    r = ranked_in_groups(df, by, value, cells)
-    picks = []
-    for s in shares:
-        at = F.lit(float(s)) * (F.col("n") - 1)
-        lo, part = F.floor(at), at - F.floor(at)
-        low = F.max(F.when(F.col("no") == lo, F.col("x")))
-        high = F.max(F.when(F.col("no") == F.ceil(at), F.col("x")))
-        picks.append(low + (high - low) * F.max(part))
-    return r.groupBy(*by).agg(F.max("n").alias("n"), F.array(*picks).alias("q"))
-
-
-def robust_bounds_large(df: DataFrame, value: str, by: Sequence[str], k: float = 6.0, scale: float = 1.4826) -> DataFrame:
-    """Median and MAD bounds (by, med, sigma, lo, hi) where single groups outgrow a task."""
-    centre = exact_quantiles(df, by, value, [0.5]).select(*by, F.col("q")[0].alias("med"))
-    off = df.select(*by, number(value).alias("__x")).join(centre, list(by)).withColumn("__d", F.abs(F.col("__x") - F.col("med")))
+    slots = ranked_slots(df, by, value, shares, accuracy)
+    return slots.groupBy(*by).agg(F.max("n").alias("n"), F.array(*map(interpolated, shares)).alias("q"))
+
+
+def robust_bounds(
+    df: DataFrame, value: str, by: Sequence[str] = (), k: float = ROBUST_K, where: Column | None = None, scale: float = MAD_TO_SIGMA
+) -> DataFrame:
+    """Per group: ``med``, ``sigma`` = ``scale`` times the MAD, ``lo`` and ``hi``; null is a group too."""
+    by = list(by)
+    rows = (df if where is None else df.where(where)).select(*by, number(value).alias("__x")).where("__x IS NOT NULL")
+    centre = exact_quantiles(rows, by, "__x", [0.5]).select(*by, F.col("q")[0].alias("med"))
+    off = join_groups(rows, centre, by).withColumn("__d", F.abs(F.col("__x") - F.col("med")))
     spread = exact_quantiles(off, by, "__d", [0.5]).select(*by, (F.col("q")[0] * scale).alias("sigma"))
-    return centre.join(spread, list(by)).select(
+    return join_groups(centre, spread, by).select(
         *by, "med", "sigma", (F.col("med") - k * F.col("sigma")).alias("lo"), (F.col("med") + k * F.col("sigma")).alias("hi")
     )

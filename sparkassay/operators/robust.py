@@ -7,32 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Width in robust sigmas, and the factor that makes MAD a sigma.
-ROBUST_K = 6.0
-MAD_TO_SIGMA = 1.4826
-
-
-def robust_bounds(
-    df: DataFrame, value: str, by: Sequence[str] = (), k: float = ROBUST_K, where: Column | None = None
-) -> DataFrame:
-    """Per group: ``med``, ``sigma`` = 1.4826 MAD, ``lo`` and ``hi``.
-
-    Two aggregations: the centre first, then deviations from it.  The frame of
-    centres has one row a group; Spark broadcasts it if it is small.
-    """
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    if where is not None:
-        rows = rows.where(where)
-    keys = list(by)
-    centre = rows.groupBy(*keys).agg(F.median(value).alias("med"))
-    joined = rows.select(*keys, value).join(centre, keys) if keys else rows.select(value).crossJoin(F.broadcast(centre))
-    spread = joined.groupBy(*keys, "med").agg((F.median(F.abs(F.col(value) - F.col("med"))) * MAD_TO_SIGMA).alias("sigma"))
-    return spread.select(
-        *keys, "med", "sigma",
-        (F.col("med") - k * F.col("sigma")).alias("lo"),
-        (F.col("med") + k * F.col("sigma")).alias("hi"),
-    )
-
+from sparkassay.operators.quantiles import ROBUST_K, join_groups, robust_bounds
 
 def mask_outliers(
     df: DataFrame,
@@ -50,7 +25,7 @@ def mask_outliers(
     bad = F.coalesce(impossible, F.lit(False)) if impossible is not None else F.lit(False)
     bounds = robust_bounds(df, value, by, k, ~bad)
     keys = list(by)
-    wide = df.join(bounds, keys, "left") if keys else df.crossJoin(F.broadcast(bounds))
+    wide = join_groups(df, bounds, keys, "left")
     out = wide.withColumn(flag, bad | F.coalesce((F.col(value) < F.col("lo")) | (F.col(value) > F.col("hi")), F.lit(False)))
     for c in masked or (value,):
         out = out.withColumn(c, F.when(~F.col(flag), F.col(c)))

@@ -8,47 +8,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-
-def number(col: str | Column) -> Column:
-    """A double in which NaN is missing."""
-    c = (F.col(col) if isinstance(col, str) else col).cast("double")
-    return F.when(~F.isnan(c), c)
-
+from sparkassay.operators.quantiles import exact_quantiles, join_groups, number
 
 def column_profile(df: DataFrame, columns: Sequence[str], subsets: Mapping[str, Column] | None = None) -> DataFrame:
-    """(subset, column, n, n_null, mean, std, min, median, max); one pass, sample deviation.
+    """(subset, column, n, n_null, mean, std, min, median, max); sample deviation.
 
-    All columns and subsets are filtered aggregates of one scan, unpivoted after it.
+    Values are unpivoted once for each subset they are in; medians are exact and distributed.
     """
     subsets = {"all": F.lit(True)} | dict(subsets or {})
-    aggs, rows = [], []
-    for s, (subset, where) in enumerate(subsets.items()):
-        for c in columns:
-            x, p = F.when(where, number(c)), f"s{s}_{c}"
-            aggs += [
-                F.count(x).alias(f"{p}_n"), (F.count_if(where) - F.count(x)).alias(f"{p}_z"), F.avg(x).alias(f"{p}_a"),
-                F.stddev_samp(x).alias(f"{p}_d"), F.min(x).alias(f"{p}_i"), F.median(x).alias(f"{p}_m"), F.max(x).alias(f"{p}_x"),
-            ]
-            rows.append(F.struct(
-                F.lit(subset).alias("subset"), F.lit(c).alias("column"),
-                *(F.col(f"{p}_{k}").alias(n) for k, n in zip("nzadimx", ("n", "n_null", "mean", "std", "min", "median", "max"), strict=True)),
-            ))
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    inside = F.filter(F.array(*(F.when(where, F.lit(name)) for name, where in subsets.items())), lambda s: s.isNotNull())
+    values = F.array(*(F.struct(F.lit(c).alias("column"), number(c).alias("x")) for c in columns))
+    long = df.select(F.explode(inside).alias("subset"), values.alias("__v")).select("subset", F.inline("__v"))
+    x = F.col("x")
+    base = long.groupBy("subset", "column").agg(
+        F.count(x).alias("n"), F.count_if(x.isNull()).alias("n_null"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")
+    )
+    middle = exact_quantiles(long, ["subset", "column"], "x", [0.5]).select("subset", "column", F.col("q")[0].alias("median"))
+    # a subset without rows has its line all the same
+    lines = df.sparkSession.createDataFrame([(s, c) for s in subsets for c in columns], "subset string, column string")
+    out = lines.join(base, ["subset", "column"], "left").join(middle, ["subset", "column"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("subset", "column", zero("n"), zero("n_null"), "mean", "std", "min", "median", "max")
 
 
 def five_numbers(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Count, mean, population deviation and linear quartiles of each group."""
     x = number(value)
-    q = F.percentile(x, [0.25, 0.5, 0.75])
-    return df.groupBy(*by).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), q.alias("__q"), F.max(x).alias("max")
-    ).select(*by, "n", "mean", "std", "min", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"), "max")
+    base = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = exact_quantiles(df, by, value, [0.25, 0.5, 0.75]).drop("n")
+    return join_groups(base, q, by, "left").select(
+        *by, "n", "mean", "std", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max"
+    )
+
+
+def with_total(counts: DataFrame, n: str = "n", out: str = "__total") -> DataFrame:
+    """The sum of a column beside every row, by an aggregate of one row and not a window in one task."""
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum(n).alias(out))))
 
 
 def frequency(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, n, share of all rows)."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.Window.partitionBy()))
+    return with_total(counts).withColumn("share", F.col("n") / F.col("__total")).drop("__total")
 
 
 def top_k(counts: DataFrame, by: Sequence[str], k: int, name: str, n: str = "n") -> DataFrame:
@@ -68,7 +69,7 @@ def mapped_histogram(df: DataFrame, label: str, buckets: Mapping[str, int], othe
     table = F.create_map(*[F.lit(x) for kv in buckets.items() for x in kv])
     bucket = F.coalesce(F.try_element_at(table, F.col(label)), F.lit(other))
     counts = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", 100.0 * F.col("n") / F.sum("n").over(W.Window.partitionBy()))
+    return with_total(counts).withColumn("share", 100.0 * F.col("n") / F.col("__total")).drop("__total")
 
 
 def rollup_counts(df: DataFrame, by: str, distinct: str) -> DataFrame:
@@ -79,9 +80,9 @@ def rollup_counts(df: DataFrame, by: str, distinct: str) -> DataFrame:
 def conditional(df: DataFrame, given: str, what: str) -> DataFrame:
     """P(what | given), P(given) and the prior of ``what`` that they imply."""
     counts = df.groupBy(given, what).agg(F.count(F.lit(1)).alias("n"))
-    g, all_, w = W.Window.partitionBy(given), W.Window.partitionBy(), W.Window.partitionBy(what)
+    g, w = W.Window.partitionBy(given), W.Window.partitionBy(what)
     return (
-        counts.withColumn("p_given", F.sum("n").over(g) / F.sum("n").over(all_))
+        with_total(counts).withColumn("p_given", F.sum("n").over(g) / F.col("__total")).drop("__total")
         .withColumn("p", F.col("n") / F.sum("n").over(g))
         .withColumn("prior", F.sum(F.col("p") * F.col("p_given")).over(w))
     )
@@ -101,7 +102,7 @@ def edge_type_histogram(df: DataFrame, n_nodes: str, edge_types: str) -> DataFra
     none = df.agg(F.sum(F.col(n_nodes) * (F.col(n_nodes) - 1) - F.size(edge_types)).alias("n")).select(F.lit(0).alias("type"), "n")
     some = df.select(F.explode(edge_types).alias("type")).groupBy(F.col("type").cast("int").alias("type")).agg(F.count(F.lit(1)).alias("n"))
     both = none.unionByName(some).groupBy("type").agg(F.sum("n").alias("n"))
-    return both.withColumn("share", F.col("n") / F.sum("n").over(W.Window.partitionBy()))
+    return with_total(both).withColumn("share", F.col("n") / F.col("__total")).drop("__total")
 
 
 def histogram(df: DataFrame, value: str, bins: int | None = None, least: int = 10, most: int = 60, rows_a_bin: int = 50) -> DataFrame:
@@ -134,7 +135,7 @@ def wasserstein(
     stat = both.groupBy("key").agg(
         lo.alias("lo"), hi.alias("hi"), F.count_if(F.col("side") == 0).alias("ns"), F.count_if(F.col("side") == 1).alias("nr")
     )
-    stat = stat.where("nr > 0").withColumn("weight", F.col("nr") / F.sum("nr").over(W.Window.partitionBy()))
+    stat = with_total(stat.where("nr > 0"), "nr").withColumn("weight", F.col("nr") / F.col("__total")).drop("__total")
     width = F.col("hi") - F.col("lo")
     at = F.when(width == 0, 0).otherwise(F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col("x") - F.col("lo")) / width * bins))))
     counts = both.join(stat, "key").groupBy("key", at.alias("bin")).agg(
@@ -150,14 +151,20 @@ def wasserstein(
     return stat.select("key", "weight").join(done, "key", "left").withColumn("w1", F.coalesce("w1", F.lit(0.0)))
 
 
+#: Most values a histogram may have to be sent to all tasks as one array.
+MOST_STEPS = 100_000
+
+
 def multinomial_draw(hist: DataFrame, draws: DataFrame, value: str, weight: str, u: Column) -> DataFrame:
     """For every row of ``draws`` the value whose cumulative share first exceeds ``u`` in [0, 1).
 
-    ``hist`` has one row a value; its cumulative limits are one array, looked up by
-    counting, so nothing is joined by range.
+    ``hist`` has one row a value, at most ``MOST_STEPS`` of them (more is an error);
+    their cumulative limits are one array, looked up by counting.
     """
+    if hist.limit(MOST_STEPS + 1).count() > MOST_STEPS:
+        raise ValueError(f"a histogram of more than {MOST_STEPS} values: draw from bins first")
     order = W.Window.orderBy(value).rowsBetween(W.Window.unboundedPreceding, 0)
-    cum = hist.withColumn("c", F.sum(weight).over(order) / F.sum(weight).over(W.Window.partitionBy()))
+    cum = with_total(hist, weight).withColumn("c", F.sum(weight).over(order) / F.col("__total"))
     one = cum.agg(F.array_sort(F.collect_list(F.struct("c", value))).alias("steps"))
     at = F.size(F.filter("steps", lambda s: s["c"] <= F.col("__u")))
     return draws.withColumn("__u", u).crossJoin(F.broadcast(one)).withColumn(

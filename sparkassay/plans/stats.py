@@ -206,6 +206,6 @@ def large_group_quantiles(spark, sf_dir):
     round(med + 6 * 1.4826 * median(abs(l_quantity - med)), 6) AS hi FROM lineitem JOIN m ON g = l_returnflag GROUP BY g, med""",
 )
 def large_group_bounds(spark, sf_dir):
-    from sparkassay.operators.quantiles import robust_bounds_large
+    from sparkassay.operators.quantiles import robust_bounds
 
-    return rounded(robust_bounds_large(table(spark, sf_dir, "lineitem"), "l_quantity", ["l_returnflag"]))
+    return rounded(robust_bounds(table(spark, sf_dir, "lineitem"), "l_quantity", ["l_returnflag"]))
