@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ def matches(text: Column, pattern: str, groups: int) -> Column:
 
 def log_pattern(names: Sequence[str]) -> str:
     """A record: property, key up to the first " is ", number, unit; records may be glued together."""
-    some = "|".join(names)
+    some = "|".join(map(re.escape, names))
     return rf"({some}) for (.+?) is (-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?) (\S+?)(?=(?:{some}) for |\s|$)"
 
 

@@ -41,19 +41,38 @@ def three_way_split(spark, sf_dir):
     return split.three_way(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
 
 
-@query("group_kfold")
+def _lpt_sql(source: str, key: str) -> str:
+    """Largest group first into the emptiest of five bins, one group a step."""
+    return f"""WITH RECURSIVE s AS (SELECT {key} AS g, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {key}) AS r FROM {source} GROUP BY 1),
+    p(r, g, n, fold, load) AS (SELECT 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0, [0, 0, 0, 0, 0]::BIGINT[]
+      UNION ALL SELECT r, g, n, spot - 1, list_transform(load, lambda x, i: CASE WHEN i = spot THEN x + n ELSE x END)
+      FROM (SELECT s.r, s.g, s.n, load, list_position(load, list_min(load)) AS spot FROM p JOIN s ON s.r = p.r + 1))"""
+
+
+@query("group_kfold", _lpt_sql("orders", "o_custkey") + " SELECT o_custkey, o_orderkey, fold::INT AS fold FROM orders JOIN p ON g = o_custkey")
 def group_kfold(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return split.group_folds(o, "o_custkey")
 
 
-@query("lpt_fold")
+@query(
+    "lpt_fold",
+    _lpt_sql("lineitem", "l_partkey") + """, f AS (SELECT fold, sum(n)::BIGINT AS n FROM p WHERE r > 0 GROUP BY 1)
+    SELECT count(*) AS n_folds, min(n) AS smallest, max(n) AS largest, max(n) / min(n) AS ratio FROM f""",
+)
 def lpt_fold(spark, sf_dir):
     packed = split.group_folds(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), "l_partkey")
     return split.balance(packed, "fold")
 
 
-@query("size_chunks")
+@query(
+    "size_chunks",
+    """WITH RECURSIVE s AS (SELECT p_size, count(*) AS c, row_number() OVER (ORDER BY p_size) AS r FROM part GROUP BY 1),
+    p(r, p_size, chunk, n) AS (SELECT r, p_size, 0, c FROM s WHERE r = 1
+      UNION ALL SELECT s.r, s.p_size, CASE WHEN p.n >= 100 THEN chunk + 1 ELSE chunk END, CASE WHEN p.n >= 100 THEN s.c ELSE p.n + s.c END FROM p JOIN s ON s.r = p.r + 1),
+    e AS (SELECT chunk AS last, n AS held FROM p ORDER BY r DESC LIMIT 1)
+    SELECT part.p_size, p_partkey, CASE WHEN chunk = last AND held < 100 AND chunk > 0 THEN chunk - 1 ELSE chunk END::INT AS chunk FROM part JOIN p USING (p_size), e""",
+)
 def size_chunks(spark, sf_dir):
     sizes = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     return split.assign(sizes, "p_size", split.merge_size_chunks(split.group_sizes(sizes, "p_size"), 100), "chunk")
@@ -168,7 +187,12 @@ def hybrid_split(spark, sf_dir):
     return split.assign(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", dict(zip(labels, fold, strict=True)))
 
 
-@query("grouped_cv")
+@query(
+    "grouped_cv",
+    """WITH g AS (SELECT l_orderkey, bool_or(l_returnflag = 'R') AS labelled FROM lineitem GROUP BY 1),
+    f AS (SELECT *, ((row_number() OVER (ORDER BY md5(l_orderkey || '|42'), l_orderkey) - 1) % 5)::INT AS fold FROM g)
+    SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS has_target, labelled, fold FROM lineitem JOIN f USING (l_orderkey)""",
+)
 def grouped_cv(spark, sf_dir):
     """All replicas of an order in one fold; an order is labelled if any of its lines is."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").alias("has_target"))

@@ -65,13 +65,12 @@ def conversation_summary(spark, sf_dir):
 
 def _drain(spark, sf_dir, build, mode="append"):
     """Run a stream over the table to its end and read what it wrote."""
-    import tempfile
     import uuid
 
+    from sparkassay.session import shared_dir
     from sparkassay.streaming import events
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkassay-stream-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = events.stream_table(spark, f"{sf_dir}/events.parquet")
     out = build(stream)
     if mode == "append":
@@ -115,3 +114,48 @@ def stream_best(spark, sf_dir):
     from sparkassay.streaming.events import running_best
 
     return _drain(spark, sf_dir, lambda s: running_best(s, "user_id", "value", "ts", 20), "update")
+
+
+@query(
+    "stream_batches",
+    """SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_ids, true AS within FROM events GROUP BY 1""",
+)
+def stream_batches(spark, sf_dir):
+    """Cost batches of a stream with lookahead, closed by one flushing row a key: every row leaves once, within the budget."""
+    import uuid
+
+    from sparkassay.session import shared_dir
+    from sparkassay.streaming import events
+
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", (F.col("user_id") % 30 + 1).alias("size"))
+    e.write.parquet(f"{at}/in")
+
+    def drain():
+        rows = spark.readStream.schema(e.schema).parquet(f"{at}/in")
+        events.run_available(events.lookahead_batches(rows, "event_type", "event_id", "size", 40, 20), f"{at}/out", f"{at}/state")
+
+    drain()
+    e.select("event_type").distinct().select("event_type", F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("size")).write.mode("append").parquet(f"{at}/in")
+    drain()
+    out = spark.read.parquet(f"{at}/out").join(e, ["event_type", "event_id"])
+    batches = out.groupBy("event_type", "batch").agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("m"), F.count_distinct("event_id").alias("d"))
+    allowed = F.greatest(F.lit(1), F.floor(40 * F.pow(20 / F.greatest(F.col("m"), F.lit(events.LEAST_SIZE)), 2)))
+    return batches.groupBy("event_type").agg(F.sum("c").alias("n"), F.sum("d").alias("n_ids"), F.bool_and(F.col("c") <= allowed).alias("within"))
+
+
+@query(
+    "stream_upsert",
+    "SELECT user_id, arg_max(event_id, ts) AS event_id FROM events GROUP BY 1",
+)
+def stream_upsert(spark, sf_dir):
+    """The latest event of each user, kept in a table by upserts of the buckets a batch touches."""
+    import uuid
+
+    from sparkassay.session import shared_dir
+    from sparkassay.streaming import events
+
+    at = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
+    stream = events.stream_table(spark, f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id")
+    events.run_available(stream, "", f"{at}/state", batch=events.upsert_batch(f"{at}/table", ["user_id"], "ts"))
+    return spark.read.parquet(f"{at}/table").select("user_id", "event_id")

@@ -58,3 +58,24 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(path, os.path.join("sparkassay", os.path.relpath(path, root)))
     context.addPyFile(archive)
     context._sparkassay_shipped = True
+
+
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session, where intermediate tables go.
+
+    Where it is unset, a local session gets a folder of our own that goes with the
+    process; on a cluster that is an error, as executors could not read the folder.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="sparkassay-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+    return _own[app]

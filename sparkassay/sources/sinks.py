@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,12 +25,27 @@ def replace_table(df: DataFrame, path: str, backup: bool = True, dry_run: bool =
         fs.delete(stage, True)
         return
     old = Path(f"{path}.bak")
-    if fs.exists(p):
-        fs.delete(old, True)
-        fs.rename(p, old)
-    fs.rename(stage, p)
-    if not backup:
-        fs.delete(old, True)
+    aside = Path(f"{path}.old-{uuid.uuid4().hex[:8]}")
+    had = fs.exists(p)
+    if had:
+        _rename(fs, p, aside)
+    try:
+        _rename(fs, stage, p)
+    except OSError:
+        if had:
+            _rename(fs, aside, p)  # the table keeps its name and rows
+        raise
+    if had and backup:
+        fs.delete(old, True)  # the earlier backup goes only once the new table stands
+        _rename(fs, aside, old)
+    elif had:
+        fs.delete(aside, True)
+
+
+def _rename(fs, a, b) -> None:
+    """Rename, or an error: file systems may only say that they did not."""
+    if not fs.rename(a, b):
+        raise OSError(f"cannot rename {a.toString()} to {b.toString()}")
 
 
 def write_folds(df: DataFrame, path: str, keys: Sequence[str] = ("fold", "part"), fmt: str = "csv") -> None:
@@ -54,6 +69,58 @@ def write_statistics(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def write_json(df: DataFrame, path: str, **counts: Column) -> DataFrame:
+    """JSON lines at ``path``, and beside them in ``path.stats`` one row of aggregates, counted while writing."""
+    seen = Observation(f"json-{uuid.uuid4().hex[:8]}")
+    aggs = counts or {"n_rows": F.count(F.lit(1))}
+    df.observe(seen, *(c.alias(name) for name, c in aggs.items())).write.mode("overwrite").json(path)
+    stats = df.sparkSession.createDataFrame([seen.get])
+    stats.coalesce(1).write.mode("overwrite").json(f"{path}.stats")
+    return stats
+
+
+def copy_snapshot(spark: SparkSession, tables: Mapping[str, str], path: str) -> DataFrame:
+    """Copies of named Parquet tables under ``path`` and (name, n_rows, n_columns) of what was copied."""
+    out = None
+    for name, source in tables.items():
+        at = f"{path}/{name}"
+        spark.read.parquet(source).write.mode("overwrite").parquet(at)
+        copy = spark.read.parquet(at)
+        one = copy.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows", F.lit(len(copy.columns)).alias("n_columns"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def alias_views(spark: SparkSession, tables: Mapping[str, str]) -> None:
+    """Names for tables that stay where they are: temporary views instead of links in a folder."""
+    for name, source in tables.items():
+        spark.read.parquet(source).createOrReplaceTempView(name)
+
+
+def write_aligned(df: DataFrame, path: str, key: str, order: Sequence[str], parts: int | None = None) -> None:
+    """A list of keys and the rows as CSV, in one order: line i of ``path.list`` is row i of ``path.csv``.
+
+    The frame is sorted once into ranges and kept; both files are written from it, part by part.
+    """
+    ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    stage = f"{path}.stage-{uuid.uuid4().hex[:8]}"
+    spark = df.sparkSession
+    ranged.sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).write.parquet(stage)
+    rows = spark.read.parquet(stage).repartition("__part").sortWithinPartitions("__part", *order)
+    rows.select(F.col(key).cast("string").alias("value")).write.mode("overwrite").text(f"{path}.list")
+    rows.drop("__part").write.mode("overwrite").option("header", True).csv(f"{path}.csv")
+    fs, p, _ = _fs(spark, stage)
+    fs.delete(p, True)
+
+
+def trajectory_text(df: DataFrame, key: str, order: str, title: str, atoms: str) -> DataFrame:
+    """(key, value): the frames of each key in order, one structure after the other."""
+    frames = df.select(key, order, _xyz(title, atoms).alias("__frame"))
+    return frames.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "__frame"))).alias("f")).select(
+        key, F.array_join(F.transform("f", lambda s: s["__frame"]), "\n").alias("value")
+    )
+
+
 def is_fresh(spark: SparkSession, source: str, target: str) -> bool:
     """Whether the target exists and is not older than the source."""
     fs, s, Path = _fs(spark, source)
@@ -71,9 +138,13 @@ def structure_text(df: DataFrame, title: str, atoms: str, bonds: str, properties
     return df.select(F.array_join(lines, "\n").alias("value"))
 
 
-def xyz_text(df: DataFrame, title: str, atoms: str) -> DataFrame:
+def _xyz(title: str, atoms: str) -> Column:
     lines = F.transform(atoms, lambda a: F.format_string("%s %.6f %.6f %.6f", a["element"], a["x"], a["y"], a["z"]))
-    return df.select(F.array_join(F.concat(F.array(F.size(atoms).cast("string"), F.col(title)), lines), "\n").alias("value"))
+    return F.array_join(F.concat(F.array(F.size(atoms).cast("string"), F.col(title)), lines), "\n")
+
+
+def xyz_text(df: DataFrame, title: str, atoms: str) -> DataFrame:
+    return df.select(_xyz(title, atoms).alias("value"))
 
 
 def markdown(df: DataFrame, title: str, limit: int = 1000) -> str:

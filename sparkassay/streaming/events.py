@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,7 +41,11 @@ BEST = T.StructType([T.StructField("best", T.DoubleType()), T.StructField("waite
 
 
 def running_best(events: DataFrame, key: str, metric: str, order: str, limit: int) -> DataFrame:
-    """(key, n, best, waited, stopped) after each batch: least value so far and rows since it last fell."""
+    """(key, n, best, waited, stopped) after each batch: least value so far and rows since it last fell.
+
+    Rows are in order within a micro-batch; one that arrives in a later batch than its
+    place in ``order`` counts where it arrives.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -67,17 +73,29 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     query.awaitTermination()
 
 
-def upsert_batch(path: str, key: list[str], order: str):
-    """For ``foreachBatch``: keep the latest row of each key in the table at ``path``."""
+def upsert_batch(path: str, key: list[str], order: str, buckets: int = 64):
+    """For ``foreachBatch``: keep the latest row of each key in the table at ``path``.
+
+    The table lies in folders by a hash of the key; a batch rewrites those it has
+    keys of, through a staged copy, and leaves the others as they are.
+    """
     from sparkassay.operators.clean import first_per_key
-    from sparkassay.sources.sinks import _fs, replace_table
+    from sparkassay.sources.sinks import _fs
 
     def write(frame: DataFrame, number: int) -> None:
         spark = frame.sparkSession
         fs, p, _ = _fs(spark, path)
-        rows = spark.read.parquet(path).unionByName(frame) if fs.exists(p) else frame
-        latest = first_per_key(rows, key, [-F.unix_micros(order)])
-        replace_table(latest, path, backup=False)
+        rows = frame.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        if fs.exists(p):
+            touched = rows.select("bucket").distinct()  # at most ``buckets`` rows
+            old = spark.read.schema(rows.schema).parquet(path).join(F.broadcast(touched), "bucket", "left_semi")
+            rows = old.select(*rows.columns).unionByName(rows)
+        stage = f"{path}.stage-{number}"
+        first_per_key(rows, key, [-F.unix_micros(F.col(order).cast("timestamp"))]).select(*rows.columns).write.mode("overwrite").parquet(stage)
+        staged = spark.read.schema(rows.schema).parquet(stage).repartition("bucket")
+        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        fs, p, _ = _fs(spark, stage)
+        fs.delete(p, True)
 
     return write
 
@@ -92,41 +110,69 @@ def log_stream(spark: SparkSession, path: str, units: dict[str, str]) -> DataFra
 
 CARRY = T.StructType([T.StructField("held", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("batch", T.LongType())])
 
+#: Rows a batch may have at the reference size, that size, the least size counted, rows looked at at once, and how much larger than a drawn row the others may be.
+REFERENCE_ROWS, REFERENCE_SIZE, LEAST_SIZE, LOOKAHEAD, MARGIN = 100, 20, 9, 800, 5
 
-def lookahead_batches(rows: DataFrame, key: str, ident: str, size: str, budget: int, window: int = 800) -> DataFrame:
-    """(key, batch, ident): rows grouped so that rows * (largest size)**2 stays within ``budget``.
 
-    A window of rows is held; the largest and those nearest in size leave together,
-    the others are carried over.  Each row leaves exactly once; one that alone is
-    over the budget leaves alone.  Less than a window stays held until more arrives
-    or, in a batch query, until the end.
+def rows_allowed(size: int, reference_rows: int = REFERENCE_ROWS, reference_size: int = REFERENCE_SIZE) -> int:
+    """Rows a batch may have whose largest row has ``size``: the cost of a row grows with its square."""
+    return max(1, int(reference_rows * (reference_size / max(LEAST_SIZE, size)) ** 2))
+
+
+def lookahead_batches(
+    rows: DataFrame, key: str, ident: str, size: str, reference_rows: int = REFERENCE_ROWS, reference_size: int = REFERENCE_SIZE,
+    window: int = LOOKAHEAD, idle: str | None = None, seed: int = 42,
+) -> DataFrame:
+    """(key, batch, ident): rows grouped by size so that a batch keeps to ``rows_allowed`` of its largest row.
+
+    A window of rows is held; those that suit a drawn row leave together, the others
+    are carried over.  Each row leaves exactly once, repeated rows as often as they
+    came.  Less than a window stays held until more arrives, a row of the key without
+    an id asks for all that is held, or the key was idle for ``idle``.  That last needs
+    a query that goes on; one that drains what is there and ends must leave it out.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
+
     def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, sizes, batch = state.get if state.exists else ([], [], 0)
         pool = list(zip(sizes, held, strict=True))
-        for part in parts:
-            pool += list(zip(part[size].astype("int64"), part[ident].astype("int64"), strict=True))
-        out, batch = take_batches(pool, budget, window, int(batch))
+        flush = state.hasTimedOut
+        if not flush:
+            for part in parts:
+                flush |= bool(part[ident].isna().any())
+                part = part[part[ident].notna()]
+                pool += list(zip(part[size].astype("int64").tolist(), part[ident].astype("int64").tolist(), strict=True))
+        out, batch = take_batches(pool, reference_rows, reference_size, window, int(batch), drain=flush, seed=seed)
         state.update(([int(i) for _, i in pool], [int(s) for s, _ in pool], batch))
+        if pool and wait:
+            state.setTimeoutDuration(wait)
         yield pd.DataFrame(out, columns=["batch", ident]).assign(**{key: name[0]})[[key, "batch", ident]].astype({"batch": "int64", ident: "int64"})
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, ident, size).groupBy(key).applyInPandasWithState(
-        step, f"`{key}` {kind}, batch long, `{ident}` long", CARRY, "append", GroupStateTimeout.NoTimeout
+        step, f"`{key}` {kind}, batch long, `{ident}` long", CARRY, "append", GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout
     )
 
 
-def take_batches(pool: list[tuple[int, int]], budget: int, window: int, batch: int, drain: bool = False) -> tuple[list[tuple[int, int]], int]:
-    """Take whole batches out of ``pool`` (size, id), which keeps what is carried over."""
+def take_batches(
+    pool: list[tuple[int, int]], reference_rows: int, reference_size: int, window: int, batch: int, drain: bool = False, seed: int = 42
+) -> tuple[list[tuple[int, int]], int]:
+    """Take whole batches out of ``pool`` (size, id), which keeps what is carried over, in order."""
     out: list[tuple[int, int]] = []
     while pool and (drain or len(pool) >= window):
-        view = sorted(pool[:window], reverse=True)
-        n = max(1, budget // max(1, view[0][0] ** 2))
-        taken = view[:n]
-        gone = set(taken)
-        pool[:] = [x for x in pool if x not in gone]
-        out += [(batch, i) for _, i in taken]
+        n = min(window, len(pool))
+        by_size = sorted(range(n), key=lambda i: pool[i])
+        sizes = [pool[i][0] for i in by_size]
+        # the drawn row bounds the batch, so large rows do not always go first
+        top = max(LEAST_SIZE, min(sizes[-1], pool[random.Random(f"{seed}|{batch}").randrange(n)][0] + MARGIN))
+        end = max(1, bisect_right(sizes, top))
+        start = max(0, end - rows_allowed(sizes[end - 1], reference_rows, reference_size))
+        while start == 0 and end < n and end + 1 <= rows_allowed(sizes[end], reference_rows, reference_size):
+            end += 1  # room is left: larger rows may come along
+        taken = set(by_size[start:end])  # places, so equal rows are told apart
+        out += [(batch, pool[i][1]) for i in sorted(taken)]
+        pool[:] = [row for i, row in enumerate(pool) if i not in taken]
         batch += 1
     return out, batch

@@ -46,20 +46,43 @@ def test_running_best_across_batches(spark, tmp_path):
 
 def test_every_row_leaves_exactly_once():
     rng = random.Random(2)
-    pool = [(rng.randint(1, 40), i) for i in range(500)]
-    sizes = {i: s for s, i in pool}
-    out, batch = [], 0
-    waiting = []
+    pool = [(rng.randint(1, 40), rng.randint(0, 300)) for _ in range(500)]  # equal rows among them
+    out, batch, waiting = [], 0, []
     for lo in range(0, 500, 90):
         waiting += pool[lo : lo + 90]
-        got, batch = events.take_batches(waiting, 4000, 100, batch)
+        got, batch = events.take_batches(waiting, 10, 20, 100, batch)
         out += got
-    got, batch = events.take_batches(waiting, 4000, 100, batch, drain=True)
+    assert 0 < len(waiting) < 100
+    got, batch = events.take_batches(waiting, 10, 20, 100, batch, drain=True)
     out += got
-    assert sorted(i for _, i in out) == list(range(500)) and not waiting
+    assert sorted(i for _, i in out) == sorted(i for _, i in pool) and not waiting
+    assert events.take_batches([(5, 1), (5, 1)], 1, 5, 1, 0, drain=True)[0] == [(0, 1), (1, 1)] or events.rows_allowed(5, 1, 5) == 1
+    sizes = {}
+    for s, i in pool:
+        sizes.setdefault(i, set()).add(s)
     for b in range(batch):
-        rows = [sizes[i] for n, i in out if n == b]
-        assert rows and (len(rows) == 1 or len(rows) * max(rows) ** 2 <= 4000)
+        rows = [i for n, i in out if n == b]
+        least = max(min(sizes[i]) for i in rows)
+        assert rows and len(rows) <= events.rows_allowed(least, 10, 20)
+
+
+def test_rows_allowed():
+    assert [events.rows_allowed(s, 100, 20) for s in (1, 9, 20, 40, 400)] == [493, 493, 100, 25, 1]
+
+
+def test_stream_flushes_what_is_held(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    put = lambda rows: spark.createDataFrame(rows, "k string, i long, s long").coalesce(1).write.mode("append").parquet(src)
+    run = lambda: events.run_available(
+        events.lookahead_batches(spark.readStream.schema("k string, i long, s long").parquet(src), "k", "i", "s", 10, 20, 50), out, str(tmp_path / "state"))
+    put([("a", i % 60, i % 35) for i in range(120)] + [("b", 1, 7)])
+    run()
+    held = 121 - spark.read.parquet(out).count()
+    assert 0 < held <= 50 + 1
+    put([("a", None, None), ("b", None, None)])
+    run()
+    got = spark.read.parquet(out).collect()
+    assert sorted((r.k, r.i) for r in got) == sorted([("a", i % 60) for i in range(120)] + [("b", 1)])
 
 
 def test_log_stream(spark, tmp_path):
