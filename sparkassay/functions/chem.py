@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 #: Supported elements in encoder order, and charges an atom may have.
 ELEMENTS = ("H", "B", "C", "N", "O", "F", "Al", "Si", "P", "S", "Cl", "As", "Br", "I", "Hg", "Bi", "Se")
 CHARGES = (-2, -1, 0, 1, 2, 3)
-#: Usual valences of neutral atoms.
-VALENCES = {
-    "H": (1,), "B": (3,), "C": (4,), "N": (3,), "O": (2,), "F": (1,), "Al": (3,), "Si": (4,), "P": (3, 5),
-    "S": (2, 4, 6), "Cl": (1,), "As": (3, 5), "Br": (1,), "I": (1,), "Hg": (2,), "Bi": (3,), "Se": (2, 4, 6),
+#: Valences that count as stable by element and charge; without a charge, for every charge.
+STABLE = {
+    "H": {0: (1,), 1: (0,), -1: (0,)}, "C": {0: (3, 4), 1: (3,), -1: (3,)}, "N": {0: (2, 3), 1: (2, 3, 4), -1: (2,)}, "O": {0: (2,), 1: (3,), -1: (1,)},
+    "F": {0: (1,), -1: (0,)}, "B": {None: (3,)}, "Al": {None: (3,)}, "Si": {None: (4,)}, "P": {0: (3, 5), 1: (4,)},
+    "S": {0: (2, 6), 1: (2, 3), 2: (4,), 3: (5,), -1: (3,)}, "Cl": {None: (1,)}, "As": {None: (3,)}, "Br": {0: (1,), 1: (2,)}, "I": {None: (1,)},
+    "Hg": {None: (1, 2)}, "Bi": {None: (3, 5)}, "Se": {None: (2, 4, 6)},
 }
 
 TOKEN = re.compile(
@@ -83,16 +85,6 @@ def notation_facts(text: str | Column) -> Column:
     return F.pandas_udf(_facts, FACTS)(text)
 
 
-def rejection_checks(facts: str, allowed: tuple[str, ...] = ELEMENTS) -> list[tuple[str, Column]]:
-    """Cascade order for curated molecules, on a struct of facts."""
-    f = F.col(facts)
-    known = F.array(*map(F.lit, allowed))
-    return [
-        ("unparsable", ~f["valid"]), ("isotope", f["has_isotope"]), ("disconnected", f["n_fragments"] > 1),
-        ("element", F.size(F.array_except(f["elements"], known)) > 0), ("charge", f["max_charge"] > 1),
-    ]
-
-
 def scaffold_key(scaffold: Column, parsed: Column, ident: Column) -> Column:
     """A cluster key that never is null: by scaffold, or alone for rings-free and unreadable rows."""
     return F.when(~F.coalesce(parsed, F.lit(False)), F.concat(F.lit("__INV__:"), ident)).when(
@@ -111,10 +103,28 @@ def valency(bonds: DataFrame, key: str, atom: str = "src", kind: str = "type") -
     return bonds.groupBy(key, atom).agg(F.sum(order).alias("valency"))
 
 
+def decode(number: Column) -> Column:
+    """Element of an encoder number, null outside the encoder."""
+    return F.get(F.array(*map(F.lit, ELEMENTS)), number)
+
+
+def encode_charge(charge: Column) -> Column:
+    """Charges from 0 on, as class numbers; null for one that is not supported."""
+    return F.when(charge.between(CHARGES[0], CHARGES[-1]), charge - CHARGES[0])
+
+
+def decode_charge(number: Column) -> Column:
+    return F.when(number.between(0, len(CHARGES) - 1), number + CHARGES[0])
+
+
 def stable(element: Column, charge: Column, order: Column) -> Column:
-    """Whether a valency is usual for an element; a charge shifts it by its size."""
-    table = F.create_map(*[x for k, v in VALENCES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    return F.coalesce(F.exists(F.try_element_at(table, element), lambda v: v + charge == order), F.lit(False))
+    """Whether a valency is stable for an element and its charge, by the literal table."""
+    out = F.lit(False)
+    for name, by_charge in STABLE.items():
+        for c, orders in by_charge.items():
+            hit = (element == name) & order.isin(*orders)
+            out = out | (hit if c is None else hit & (charge == c))
+    return F.coalesce(out, F.lit(False))
 
 
 def require_toolkit(what: str):

@@ -68,12 +68,55 @@ def kabsch(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]
     return r, t, float(np.sqrt((((a @ r.T + t) - b) ** 2).sum(1).mean()))
 
 
-def aligned_rmsd(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """(key, rmsd) of two arrays of points after rigid alignment; Arrow batches, a row at a time."""
+def energy_kcal(ev: Column) -> Column:
+    """Electronvolts as kcal/mol."""
+    return ev * EV_TO_KCAL
+
+
+def assignment(cost: np.ndarray) -> np.ndarray:
+    """The column of each row in a cheapest one-to-one assignment of a square table.
+
+    Shortest augmenting paths with potentials: each row in turn takes a column,
+    moving earlier rows along the cheapest path.
+    """
+    n = len(cost)
+    u, v = np.zeros(n + 1), np.zeros(n + 1)
+    owner = np.full(n + 1, -1)  # row of a column; column n stands for the row to place
+    for row in range(n):
+        owner[n] = row
+        least, back, done, j = np.full(n, np.inf), np.full(n, n), np.zeros(n + 1, bool), n
+        while owner[j] >= 0:
+            done[j] = True
+            free = ~done[:n]
+            gap = cost[owner[j]] - u[owner[j]] - v[:n]
+            better = free & (gap < least)
+            least[better], back[better] = gap[better], j
+            step = least[free].min()
+            nxt = int(np.flatnonzero(free)[least[free].argmin()])
+            used = np.flatnonzero(done)
+            u[owner[used]] += step
+            v[used] -= step
+            least[free] -= step
+            j = nxt
+        while j != n:
+            owner[j], j = owner[back[j]], back[j]
+    out = np.empty(n, np.int64)
+    out[owner[:n]] = np.arange(n)
+    return out
+
+
+def matched(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``b`` in the order that brings its points nearest to those of ``a``."""
+    return b[assignment(((a[:, None] - b[None]) ** 2).sum(2))]
+
+
+def aligned_rmsd(df: DataFrame, key: str, a: str, b: str, match: bool = False) -> DataFrame:
+    """(key, rmsd) of two arrays of points after rigid alignment, with ``match`` after their best assignment."""
     @F.pandas_udf("double")
     def rmsd(x: pd.Series, y: pd.Series) -> pd.Series:
         points = lambda v: np.array([list(p) for p in v], dtype=float)
-        return pd.Series([kabsch(points(p), points(q))[2] if p is not None and q is not None and len(p) == len(q) and len(p) else None for p, q in zip(x, y, strict=True)])
+        order = matched if match else lambda p, q: q
+        return pd.Series([kabsch(points(p), order(points(p), points(q)))[2] if p is not None and q is not None and len(p) == len(q) and len(p) else None for p, q in zip(x, y, strict=True)])
 
     return df.select(key, rmsd(a, b).alias("rmsd"))
 

@@ -42,6 +42,20 @@ def reject_cascade(df: DataFrame, checks: Sequence[tuple[str, Column]]) -> tuple
     return marked.where("reject_reason IS NULL").drop("reject_reason"), marked.where("reject_reason IS NOT NULL"), counts
 
 
+def drop_all_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows in which at least one of the columns has a value; NaN is missing."""
+    floats = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float")}
+    have = F.lit(False)
+    for c in columns:
+        have = have | (F.col(c).isNotNull() & ~F.isnan(c) if c in floats else F.col(c).isNotNull())
+    return df.where(have)
+
+
+def keep_known(df: DataFrame, items: Column, allowed: Sequence) -> DataFrame:
+    """Rows all of whose elements are allowed; an empty or null array has none that is not."""
+    return df.where(F.coalesce(F.forall(items, lambda x: F.coalesce(x.isin(*allowed), F.lit(False))), F.lit(True)))
+
+
 def outside_vocabulary(df: DataFrame, items: Column, allowed: Sequence) -> DataFrame:
     """How many rows hold each element that is not allowed; an element counts once a row."""
     known = F.array(*map(F.lit, allowed))

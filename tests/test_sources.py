@@ -111,10 +111,71 @@ def test_notation_facts(spark):
     assert got["CCO"].n_atoms == 3 and got["c1ccccc1"].n_rings == 1 and got["c1ccccc1"].n_aromatic == 6
     assert got["[13CH4]"].has_isotope and got["CC.O"].n_fragments == 2 and got["[NH4+].[Cl-]"].net_charge == 0
     assert not any(got[s].valid for s in ("C1CC", "", None, "C(C")) and got["ClCBr"].elements == ["Cl", "C", "Br"]
+
+
+def test_molecules(spark):
+    """Values that follow from the structures; the same graph written otherwise has the same key."""
+    from sparkassay.functions.molecule import describe, FIELDS, fingerprint, graph_key, molecule, read_molecule, rejection_checks
     from sparkassay.operators.clean import reject_reason
 
-    why = {r.s: r.w for r in df.select("s", reject_reason(chem.rejection_checks("f")).alias("w")).collect()}
-    assert why == {"CCO": None, "c1ccccc1": None, "[13CH4]": "isotope", "CC.O": "disconnected", "[NH4+].[Cl-]": "disconnected", "C1CC": "unparsable", "": "unparsable", None: "unparsable", "[Fe+3]": "element", "C(C": "unparsable", "ClCBr": None}
+    names = [p.split()[0] for p in FIELDS.split(", ")]
+    one = lambda s: dict(zip(names, describe(s)))
+    aspirin = one("CC(=O)Oc1ccccc1C(=O)O")
+    assert (aspirin["n_heavy"], aspirin["n_hydrogens"], aspirin["n_rings"], aspirin["n_donors"], aspirin["n_acceptors"], aspirin["n_rotatable"]) == (13, 8, 1, 1, 4, 3)
+    assert abs(aspirin["weight"] - 180.159) < 0.01 and abs(aspirin["frac_sp3"] - 1 / 9) < 1e-9
+    assert abs(one("Cn1c(=O)c2c(ncn2C)n(C)c1=O")["weight"] - 194.194) < 0.01
+    assert one("O=C1CCCC1c1ccccc1")["n_aliphatic_rings"] == 1 and one("c1ccc2ccccc2c1")["n_rings"] == 2
+    for same in (["CCO", "OCC", "C(O)C"], ["c1ccccc1C", "Cc1ccccc1", "c1cc(C)ccc1"], ["C1CC1N", "NC1CC1"]):
+        assert len({graph_key(read_molecule(s)) for s in same}) == 1 and len({tuple(fingerprint(read_molecule(s))) for s in same}) == 1
+    assert one("CCc1ccccc1")["scaffold"] == one("Oc1ccccc1")["scaffold"] == one("c1ccccc1")["scaffold"] != one("C1CCCCC1")["scaffold"]
+    assert [one(s)["status"] for s in ("C(C)(C)(C)(C)C", "C1CC", "C..C", "CC.O", "CC", "C()C", None, "c1ccncc1", "C[N+](=O)[O-]")] == [1, 0, 0, 4, 5, 0, 0, 5, 5]
+    assert [one(s)["n_radicals"] for s in ("[CH3]", "[O]", "[NH4+]", "[CH3-]", "[OH-]", "[Cl-]", "[BH4-]", "[nH]1cccc1")] == [1, 2, 0, 0, 0, 0, 0, 0]
+    rows = [None, "nan", " ", "C(C", "[CH3]", "[13CH4]", "CC.O", "[Na+]", "[O-2]", "CCO", "C(C)(C)(C)(C)C"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, s string").withColumn("f", molecule("s"))
+    why = [r.w for r in df.select("i", reject_reason(rejection_checks("f", "s", chem.ELEMENTS)).alias("w")).orderBy("i").collect()]
+    assert why == ["empty", "empty", "empty", "unparsable", "radical", "isotope", "disconnected", "element", "charge", None, "unparsable"]
+
+
+def test_stability_and_codes(spark):
+    rows = [("C", 1, 3, True), ("C", 0, 3, True), ("C", 0, 2, False), ("N", 0, 2, True), ("N", 1, 4, True), ("Hg", 0, 1, True), ("Bi", 0, 5, True), ("S", 0, 4, False), ("S", 2, 4, True),
+            ("Cl", 1, 1, True), ("Br", 1, 2, True), ("F", -1, 0, True), ("Xe", 0, 0, False), (None, 0, 1, False), ("O", 2, 2, False)]
+    df = spark.createDataFrame(rows, "e string, q int, v int, want boolean")
+    assert df.where(chem.stable(F.col("e"), F.col("q"), F.col("v")) != F.col("want")).count() == 0
+    codes = df.select("e", "q", chem.decode(chem.encode(F.col("e"))).alias("e2"), chem.decode_charge(chem.encode_charge(F.col("q"))).alias("q2")).collect()
+    assert all(r.e2 == (r.e if r.e in chem.ELEMENTS else None) and r.q2 == r.q for r in codes)
+
+
+def test_assignment():
+    import itertools
+
+    import numpy as np
+
+    from sparkassay.functions import geometry
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 6):
+        for _ in range(20):
+            cost = rng.integers(0, 9, (n, n)).astype(float)
+            got = geometry.assignment(cost)
+            assert sorted(got) == list(range(n))
+            assert cost[np.arange(n), got].sum() == min(sum(cost[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
+
+
+def test_more_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"name {i}", i * 0.5) for i in range(40)], "id long, name string, x double").repartition(5)
+    sinks.write_aligned(df, str(tmp_path / "a"), "id", ["id"], 3)
+    ids = [int(r.value) for r in spark.read.text(str(tmp_path / "a.list")).collect()]
+    lists, tables = ([sorted(p.name for p in (tmp_path / f"a.{k}").glob("part-*"))] for k in ("list", "csv"))
+    assert sorted(ids) == list(range(40)) and len(lists[0]) == len(tables[0])
+    for one, two in zip(sorted((tmp_path / "a.list").glob("part-*")), sorted((tmp_path / "a.csv").glob("part-*"))):
+        rows = [line.split(",")[0] for line in two.read_text().splitlines()[1:]]
+        assert one.read_text().split() == rows
+    stats = sinks.write_json(df, str(tmp_path / "j"), n=F.count(F.lit(1)), total=F.sum("x"))
+    assert tuple(stats.first()) == (40, 390.0) and spark.read.json(str(tmp_path / "j")).count() == 40
+    df.write.parquet(str(tmp_path / "t"))
+    assert [tuple(r) for r in sinks.copy_snapshot(spark, {"t": str(tmp_path / "t")}, str(tmp_path / "snap")).collect()] == [("t", 40, 3)]
+    sinks.alias_views(spark, {"aliased": str(tmp_path / "t")})
+    assert spark.sql("SELECT count(*) FROM aliased").first()[0] == 40
 
 
 def test_geometry(spark):
