@@ -6,7 +6,7 @@ import importlib
 
 from sparkassay.plans.catalog import ORACLES, QUERIES
 
-FAMILIES = ("stats", "clean", "joins", "metrics", "splits", "text", "nested", "pipelines")
+FAMILIES = ("stats", "clean", "joins", "metrics", "splits", "text", "nested", "pipelines", "io", "molecules")
 
 
 def _load() -> None:
