@@ -72,8 +72,26 @@ def interpolated(share: float) -> Column:
     return low + (high - low) * F.max(at - F.floor(at))
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, shares: Sequence[float], accuracy: int = 10_000) -> DataFrame:
-    """(by, n, q): linearly interpolated quantiles of each group, in the order of ``shares``."""
+#: Frames that the optimizer puts below this size are left to Spark's own percentile.
+SMALL_BYTES = 64 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate, from file sizes and without a job; it errs on the large side after joins."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def exact_quantiles(
+    df: DataFrame, by: Sequence[str], value: str | Column, shares: Sequence[float], accuracy: int = 10_000, small_bytes: int = SMALL_BYTES
+) -> DataFrame:
+    """(by, n, q): linearly interpolated quantiles of each group, in the order of ``shares``.
+
+    One aggregate where the whole frame fits a task anyway, the two passes where it may not.
+    """
+    rows = df.select(*by, number(value).alias("x"))
+    if estimated_bytes(rows) <= small_bytes:
+        found = rows.where("x IS NOT NULL").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile("x", [float(s) for s in shares]).alias("q"))
+        return found if by else found.where("n > 0")
     slots = ranked_slots(df, by, value, shares, accuracy)
     return slots.groupBy(*by).agg(F.max("n").alias("n"), F.array(*map(interpolated, shares)).alias("q"))
 

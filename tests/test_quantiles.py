@@ -10,8 +10,8 @@ def test_against_numpy_with_ties_and_missing_values(spark):
     rows = [(rng.choice("abbb"), rng.choice([7.0, 7.0, rng.gauss(0, 1), float("nan"), None])) for _ in range(900)] + [("one", 3.0), ("none", None)]
     df = spark.createDataFrame(rows, "g string, x double").repartition(5)
     shares = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
-    for accuracy in (20, 10_000):
-        got = {r.g: (r.n, r.q) for r in exact_quantiles(df, ["g"], "x", shares, accuracy).collect()}
+    for accuracy, small in ((20, 0), (10_000, 0), (20, 1 << 40)):
+        got = {r.g: (r.n, r.q) for r in exact_quantiles(df, ["g"], "x", shares, accuracy, small).collect()}
         check(rows, got, shares)
 
 
@@ -28,10 +28,10 @@ def test_large_groups_and_a_group_of_null(spark):
     rows = [(None if i % 3 else "g", float(v)) for i, v in enumerate(x)]
     shares = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
     df = spark.createDataFrame(rows, "g string, x double")
-    got = {r.g: r.q for r in exact_quantiles(df, ["g"], "x", shares, 200).collect()}
+    got = {r.g: r.q for r in exact_quantiles(df, ["g"], "x", shares, 200, 0).collect()}
     for g in ("g", None):
         assert np.allclose(got[g], np.quantile([v for k, v in rows if k == g], shares))
-    assert np.allclose(exact_quantiles(df, [], "x", shares, 200).first().q, np.quantile(x, shares))
+    assert np.allclose(exact_quantiles(df, [], "x", shares, 200, 0).first().q, np.quantile(x, shares))
 
 
 def test_bounds_against_numpy(spark):
