@@ -8,6 +8,8 @@ near-duplicate stage keeps one row; rows without an id are never linked and stay
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -20,20 +22,31 @@ from sparkassay.llm.mixing import mix_sources
 from sparkassay.llm.quality import classify_quality
 
 
+def beside(docs: DataFrame, results: tuple[str, ...], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step(docs)`` with the columns of ``docs`` alone; own columns named like its results keep their values."""
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in results}
+    safe = docs.withColumnsRenamed(own)
+    return step(safe).select(*safe.columns).withColumnsRenamed({v: k for k, v in own.items()})
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
-    scored = classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("predicted = 1").select(*docs.columns)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return beside(docs, ("held_out", "score", "predicted"), lambda d: classify_quality(d, labels).where("predicted = 1"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier document holds; n_chars follows the text."""
+    return beside(docs, ("kept_text", "n_lines", "n_dropped"), without_lines)
+
+
+def without_lines(docs: DataFrame) -> DataFrame:
     out = dedup_lines(docs)
     cut = F.col("n_dropped") > 0
     out = out.where(~cut | (F.btrim("kept_text", F.lit(KEY_SPACE)) != "")).withColumn("text", F.when(cut, F.col("kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
