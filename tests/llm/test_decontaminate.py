@@ -134,3 +134,12 @@ def test_long_texts_in_parts(monkeypatch):
     whole = op.find_leaks(words, seeds)
     monkeypatch.setattr(op, "PLACES", 50)
     assert op.find_leaks(words, seeds) == whole and len(whole) == len(items)
+
+
+def test_clashing_columns(llm):
+    item = "one two three four five six seven eight nine ten"
+    docs = llm.createDataFrame([(1, f"before {item} after", 7, "x", "y"), (2, "nothing of it", 7, "x", "y")], "doc_id long, text string, score int, item_id string, id string")
+    bench = llm.createDataFrame([(5, item, 3)], "item_id long, text string, row_hash int")
+    assert [(r.doc_id, r.item_id, r.score) for r in find_contamination(docs, bench).collect()] == [(1, 5, 1.0)]
+    kept = drop_contaminated(docs, bench).collect()
+    assert [(r.doc_id, r.score, r.item_id, r.id) for r in kept] == [(2, 7, "x", "y")]

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sparkassay.llm._store import Scratch
 
@@ -67,3 +69,15 @@ def test_empty_documents(llm, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(llm, docs, at)
         assert docs.count() == 0
+
+
+def test_extra_columns_with_clashing_names(llm, tmp_path):
+    at = str(tmp_path)
+    tables(llm, at)
+    mark = F.concat(F.lit("own "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    names = ("score", "Predicted", "kept_text", "n_dropped", "component_id", "kept", "item_id", "id")
+    docs = llm.read.parquet(f"{at}/documents.parquet").withColumns({n: mark for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(llm, docs, at)
+        assert out.columns == docs.columns
+        assert out.where(" OR ".join(f"`{n}` <> 'own ' || coalesce(string(doc_id), 'none')" for n in names)).count() == 0, name
