@@ -44,7 +44,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkassay.llm._store import Scratch
+from sparkassay.llm._store import Scratch, partitions
 from sparkassay.llm._words import mix, powers, prefix_sums, span_hashes
 from sparkassay.llm.suffix import DEPTH, substring_classes
 
@@ -449,8 +449,8 @@ def remove_repeats(
             return pd.DataFrame(columns=SETTLED)
         return settle(Shard(pdf, buckets), rows, keep_text)
 
-    # partitions by the number of buckets, so that a task's share does not grow with the table
-    wide = min(buckets, MOST_PARTITIONS)
+    # partitions by the number of buckets, so that a task's share does not grow with the table; never fewer than the session's
+    wide = max(partitions(spark), min(buckets, MOST_PARTITIONS))
 
     def merged(rows: DataFrame, label: str) -> DataFrame:
         # dealt by number and not by hash: no partition has two buckets of a kind while another has none
