@@ -143,11 +143,12 @@ def similar_pairs(df: DataFrame, ident: str, vector: str, least: float) -> DataF
             inside = a.blk.iloc[0] == a.other.iloc[0]
             for lo in range(0, len(a), 512):
                 sims = x[lo : lo + 512] @ y.T
-                for i, j in zip(*np.nonzero(sims >= least), strict=True):
-                    p, q = ia[lo + i], ib[j]
-                    if p < q or (not inside and p != q):
-                        out.append((min(p, q), max(p, q), float(sims[i, j])))
-        return pd.DataFrame(out, columns=["a", "b", "sim"]).astype({"a": "int64", "b": "int64", "sim": "float64"})
+                i, j = np.nonzero(sims >= least)
+                p, q = ia[lo + i], ib[j]
+                keep = p < q if inside else p != q
+                out.append(pd.DataFrame({"a": np.minimum(p, q)[keep], "b": np.maximum(p, q)[keep], "sim": sims[i, j][keep]}))
+        none = pd.DataFrame({"a": [], "b": [], "sim": []})
+        return pd.concat(out or [none]).astype({"a": "int64", "b": "int64", "sim": "float64"})
 
     return left.groupBy("blk", "other").cogroup(right.groupBy("r_first", "r_blk")).applyInPandas(pairs, "a long, b long, sim double")
 

@@ -168,9 +168,7 @@ def label_clusters(spark, sf_dir):
 @query("butina")
 def butina(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    ids = [r[0] for r in split.bounded(e.select("vec_id").distinct(), split.MAX_GROUPS, "representatives")]
-    pairs = [(r.a, r.b) for r in split.bounded(similarity.similar_pairs(e, "vec_id", "embedding", 0.35), split.MAX_PAIRS, "similar pairs")]
-    return split.assign(e.select("vec_id", "label"), "vec_id", split.butina(sorted(ids), pairs), "centroid")
+    return split.butina_clusters(e.select("vec_id", "label", "embedding"), "vec_id", "embedding", 0.35).drop("embedding")
 
 
 @query("maxmin_voronoi")

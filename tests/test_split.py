@@ -61,6 +61,21 @@ def test_butina_against_brute_force():
         assert split.butina(range(n), pairs) == brute_butina(range(n), pairs)
 
 
+def test_butina_on_disk_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(100, 6))
+    x[60:75], x[80:84], x[90] = x[3], x[7], 0  # equal vectors, one without a direction
+    rows = [(i * 3, [float(v) for v in r]) for i, r in enumerate(x)] + [(999, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    pairs = [(3 * i, 3 * j) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.6, 1)), strict=True)]
+    want = brute_butina([i for i, _ in rows], pairs)
+    for held in (20, 300, 10**6):  # neighbours that the driver may hold
+        monkeypatch.setattr(split, "MAX_NEAR", held)
+        got = split.butina_clusters(df, "id", "v", 0.6).collect()
+        assert {r.id: r.centroid for r in got} == want and len(got) == len(rows)
+
+
 def test_balancing_never_gets_worse():
     rng = np.random.default_rng(5)
     for _ in range(10):
