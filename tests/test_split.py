@@ -33,6 +33,30 @@ def test_lpt_breaks_ties_by_the_first_bin():
     assert split.merge_size_chunks([(1, 5), (2, 5), (3, 9), (4, 1)], 8) == {1: 0, 2: 0, 3: 1, 4: 1}
 
 
+def test_packing_is_one_group_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(split, "MAX_GROUPS", 3)  # no limit here
+    rng = random.Random(8)
+    for _ in range(60):
+        sizes = sorted(((i, rng.choice([1, 1, 1, 2, 3, 7, 40])) for i in range(rng.randint(1, 90))), key=lambda x: (-x[1], x[0]))
+        load, got = [0] * 5, {}
+        for n in sorted({n for _, n in sizes}, reverse=True):
+            same = [i for i, m in sizes if m == n]
+            runs = split.lpt_runs(load, n, len(same))
+            for place, i in enumerate(same):
+                start, bins = [r for r in runs if r[0] <= place][-1]
+                got[i] = bins[(place - start) % len(bins)]
+        assert got == split.lpt(sizes, 5)
+    for names in ([f"g{i:03d}" for i in range(90)], list(range(-40, 50))):
+        rows = [(g,) for i, g in enumerate(names) for _ in range(60 if i == 0 else rng.choice([1, 2, 5]))]
+        df = spark.createDataFrame([*rows, (None,), (None,)], f"g {'string' if isinstance(names[0], str) else 'long'}").repartition(4)
+        count = {}
+        for (g,) in [*rows, (None,), (None,)]:
+            count[g] = count.get(g, 0) + 1
+        want = split.lpt(sorted(count.items(), key=lambda x: (-x[1], x[0] is None, x[0] or "" if isinstance(names[0], str) else x[0] or 0)), 5)
+        out = split.group_folds(df, "g")
+        assert {r.g: r.fold for r in out.collect()} == want and out.count() == len(rows) + 2
+
+
 def test_group_limit_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(split, "MAX_GROUPS", 3)
     with pytest.raises(ValueError):
