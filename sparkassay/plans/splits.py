@@ -61,8 +61,7 @@ def group_kfold(spark, sf_dir):
     SELECT count(*) AS n_folds, min(n) AS smallest, max(n) AS largest, max(n) / min(n) AS ratio FROM f""",
 )
 def lpt_fold(spark, sf_dir):
-    packed = split.group_folds(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), "l_partkey")
-    return split.balance(packed, "fold")
+    return split.balance(split.packed(table(spark, sf_dir, "lineitem").select("l_partkey"), "l_partkey"), "fold", "n")
 
 
 @query(

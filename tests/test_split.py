@@ -57,6 +57,15 @@ def test_packing_is_one_group_at_a_time(spark, monkeypatch):
         assert {r.g: r.fold for r in out.collect()} == want and out.count() == len(rows) + 2
 
 
+def test_balance_of_more_groups_than_the_driver_may_hold(spark, monkeypatch, tmp_path):
+    from sparkassay.plans.splits import lpt_fold
+
+    monkeypatch.setattr(split, "MAX_GROUPS", 3)
+    rows = [(i, p) for p, n in ((1, 4), (2, 4), (3, 3), (4, 3), (5, 3), (None, 3), (6, 1)) for i in range(n)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert tuple(lpt_fold(spark, str(tmp_path)).first()) == (5, 3, 6, 2.0)  # 4 4 3+3 3+1 3
+
+
 def test_group_limit_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(split, "MAX_GROUPS", 3)
     with pytest.raises(ValueError):
