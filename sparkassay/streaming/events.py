@@ -137,18 +137,22 @@ def lookahead_batches(
 
     def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, sizes, batch = state.get if state.exists else ([], [], 0)
-        pool = list(zip(sizes, held, strict=True))
+        pool, batch = list(zip(sizes, held, strict=True)), int(batch)
         flush = state.hasTimedOut
+        frame = lambda out: pd.DataFrame(out, columns=["batch", ident]).assign(**{key: name[0]})[[key, "batch", ident]].astype({"batch": "int64", ident: "int64"})
         if not flush:
+            # part by part: a task holds a window and one part, however many rows a key has
             for part in parts:
                 flush |= bool(part[ident].isna().any())
                 part = part[part[ident].notna()]
                 pool += list(zip(part[size].astype("int64").tolist(), part[ident].astype("int64").tolist(), strict=True))
-        out, batch = take_batches(pool, reference_rows, reference_size, window, int(batch), drain=flush, seed=seed)
+                out, batch = take_batches(pool, reference_rows, reference_size, window, batch, seed=seed)
+                yield frame(out)
+        out, batch = take_batches(pool, reference_rows, reference_size, window, batch, drain=flush, seed=seed)
         state.update(([int(i) for _, i in pool], [int(s) for s, _ in pool], batch))
         if pool and wait:
             state.setTimeoutDuration(wait)
-        yield pd.DataFrame(out, columns=["batch", ident]).assign(**{key: name[0]})[[key, "batch", ident]].astype({"batch": "int64", ident: "int64"})
+        yield frame(out)
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, ident, size).groupBy(key).applyInPandasWithState(
@@ -159,20 +163,30 @@ def lookahead_batches(
 def take_batches(
     pool: list[tuple[int, int]], reference_rows: int, reference_size: int, window: int, batch: int, drain: bool = False, seed: int = 42
 ) -> tuple[list[tuple[int, int]], int]:
-    """Take whole batches out of ``pool`` (size, id), which keeps what is carried over, in order."""
+    """Take whole batches out of ``pool`` (size, id), which keeps what is carried over, in order.
+
+    A batch costs a window whatever the pool holds: its rows are kept by arrival and by size.
+    """
     out: list[tuple[int, int]] = []
-    while pool and (drain or len(pool) >= window):
-        n = min(window, len(pool))
-        by_size = sorted(range(n), key=lambda i: pool[i])
-        sizes = [pool[i][0] for i in by_size]
+    seen = min(window, len(pool))  # rows of the pool that have come into the window
+    held = [(s, i, no) for no, (s, i) in enumerate(pool[:seen])]
+    by_size = sorted(held)  # the number tells equal rows apart
+    while held and (drain or len(held) >= window):
+        n = len(held)
         # the drawn row bounds the batch, so large rows do not always go first
-        top = max(LEAST_SIZE, min(sizes[-1], pool[random.Random(f"{seed}|{batch}").randrange(n)][0] + MARGIN))
-        end = max(1, bisect_right(sizes, top))
-        start = max(0, end - rows_allowed(sizes[end - 1], reference_rows, reference_size))
-        while start == 0 and end < n and end + 1 <= rows_allowed(sizes[end], reference_rows, reference_size):
+        top = max(LEAST_SIZE, min(by_size[-1][0], held[random.Random(f"{seed}|{batch}").randrange(n)][0] + MARGIN))
+        end = max(1, bisect_right(by_size, top, key=lambda row: row[0]))
+        start = max(0, end - rows_allowed(by_size[end - 1][0], reference_rows, reference_size))
+        while start == 0 and end < n and end + 1 <= rows_allowed(by_size[end][0], reference_rows, reference_size):
             end += 1  # room is left: larger rows may come along
-        taken = set(by_size[start:end])  # places, so equal rows are told apart
-        out += [(batch, pool[i][1]) for i in sorted(taken)]
-        pool[:] = [row for i, row in enumerate(pool) if i not in taken]
+        taken = {no for _, _, no in by_size[start:end]}
+        out += [(batch, i) for _, i, no in held if no in taken]
+        come = [(s, i, no) for no, (s, i) in enumerate(pool[seen : seen + len(taken)], seen)]
+        seen += len(come)
+        held = [row for row in held if row[2] not in taken] + come
+        del by_size[start:end]
+        by_size += come
+        by_size.sort()
         batch += 1
+    pool[:] = [(s, i) for s, i, _ in held] + pool[seen:]
     return out, batch

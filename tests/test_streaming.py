@@ -66,6 +66,32 @@ def test_every_row_leaves_exactly_once():
         assert rows and len(rows) <= events.rows_allowed(least, 10, 20)
 
 
+def test_a_batch_costs_a_window_and_not_the_pool():
+    class Pool(list):
+        read = 0
+
+        def __getitem__(self, at):
+            got = super().__getitem__(at)
+            Pool.read += len(got) if isinstance(at, slice) else 1
+            return got
+
+        def __setitem__(self, at, rows):
+            Pool.read += len(rows)
+            super().__setitem__(at, rows)
+
+    rng = random.Random(3)
+    rows = [(rng.randint(1, 30), i) for i in range(4000)]
+    pool, parts, fed = Pool(rows), [], []
+    out, batch = events.take_batches(pool, 10, 20, 50, 0)
+    assert batch > 100 and Pool.read < 3 * len(rows)
+    last = 0
+    for lo in range(0, 4000, 333):  # in parts as at once
+        parts += rows[lo : lo + 333]
+        got, last = events.take_batches(parts, 10, 20, 50, last)
+        fed += got
+    assert (fed, last, parts) == (out, batch, list(pool))
+
+
 def test_rows_allowed():
     assert [events.rows_allowed(s, 100, 20) for s in (1, 9, 20, 40, 400)] == [493, 493, 100, 25, 1]
 
