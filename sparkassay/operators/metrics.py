@@ -107,8 +107,8 @@ def weighted_mean(df: DataFrame, by: Sequence[str], value: str, weight: str) ->
 
 
 def argmin_where(df: DataFrame, by: Sequence[str], value: str, ident: str, flag: Column) -> DataFrame:
-    """The id of the smallest value of each group, over all rows and over flagged rows; ties to the smaller id."""
-    lead = F.struct(value, ident)
+    """The id of the smallest value of each group, over all rows and over flagged rows; ties to the smaller id; no missing value counts."""
+    lead = F.when(F.col(value).isNotNull() & F.col(ident).isNotNull(), F.struct(value, ident))
     return df.groupBy(*by).agg(F.min_by(ident, lead).alias("best"), F.min_by(ident, F.when(flag, lead)).alias("best_flagged"))
 
 

@@ -108,3 +108,12 @@ def test_window_operators(spark):
     assert best_of_last(df, ["g"], ["o"], "v", 2).first().v == 3.0 and best_of_last(df.where("o < 4"), ["g"], ["o"], "v", 2).first().v == 4.2
     flat = spark.createDataFrame([("a", 2.0), ("a", 2.0)], "g string, v double")
     assert [r.z for r in z_score(flat, ["g"], "v", F.lit(True)).collect()] == [0.0, 0.0]
+
+
+def test_smallest_value_weighs_keys_and_skips_missing(spark, tmp_path):
+    from sparkassay.plans.metrics import argmin_where
+
+    rows = [(1, 150_000, "O", 10.0), (1, 2, "F", 10.05), (2, 3, "O", None), (2, 4, "O", 7.0), (3, 5, "O", None), (4, 9, "F", 1.0)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_orderstatus string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.o_custkey: (r.best, r.best_flagged) for r in argmin_where(spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 150_000), 2: (4, 4), 3: (None, None), 4: (9, None)}
