@@ -112,16 +112,19 @@ def argmin_where(df: DataFrame, by: Sequence[str], value: str, ident: str, flag:
     return df.groupBy(*by).agg(F.min_by(ident, lead).alias("best"), F.min_by(ident, F.when(flag, lead)).alias("best_flagged"))
 
 
-def noise_rank(df: DataFrame, key: str, truth: str, pred: str, top: int = 30, cut: float = 1.5) -> DataFrame:
+def noise_rank(df: DataFrame, key: str, truth: str, pred: str, top: int = 30, cut: float = 1.5, digits: int | None = None) -> DataFrame:
     """Residuals of largest size first: rank <= top or |residual| / sigma >= cut (sigma of truths, 1 if 0).
 
-    Rows are ranked over the whole table by cells, not in one task.
+    With ``digits``, residuals and ratios are rounded before they rank or are held
+    against the cut, so that noise of the arithmetic breaks no tie.  Rows are ranked over the whole table by cells, not in one task.
     """
     from sparkassay.operators.order import ranked
 
     sigma = df.agg(F.stddev_pop(truth).alias("__s")).select(F.when(F.col("__s") > 0, F.col("__s")).otherwise(1.0).alias("sigma"))
-    r = df.withColumn("residual", F.col(pred) - F.col(truth)).withColumn("size", F.abs("residual")).crossJoin(F.broadcast(sigma))  # one row
-    r = ranked(r.where("size IS NOT NULL"), "size", key, descending=True).withColumn("ratio", F.col("size") / F.col("sigma"))
+    shown = lambda c: c if digits is None else F.round(c, digits)
+    raw = F.col(pred) - F.col(truth)
+    r = df.crossJoin(F.broadcast(sigma)).withColumn("ratio", shown(F.abs(raw) / F.col("sigma"))).withColumn("residual", shown(raw))  # one row
+    r = ranked(r.withColumn("size", F.abs("residual")).where("size IS NOT NULL"), "size", key, descending=True)
     return r.where((F.col("rank_no") <= top) | (F.col("ratio") >= cut)).drop("rank_n", "sigma", "size")
 
 

@@ -117,3 +117,17 @@ def test_smallest_value_weighs_keys_and_skips_missing(spark, tmp_path):
     spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_orderstatus string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
     got = {r.o_custkey: (r.best, r.best_flagged) for r in argmin_where(spark, str(tmp_path)).collect()}
     assert got == {1: (2, 150_000), 2: (4, 4), 3: (None, None), 4: (9, None)}
+
+
+def test_equal_residuals_rank_by_key(spark, tmp_path):
+    from sparkassay.plans.metrics import noise_rank
+
+    rng = random.Random(6)
+    # two orders a customer: their residuals have the same size
+    rows = [(2 * i + j, i, round(rng.uniform(900, 500_000), 2)) for i in range(300) for j in range(2)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted((r.rank_no, r.o_orderkey, abs(r.residual)) for r in noise_rank(spark, str(tmp_path)).collect())
+    assert len(got) >= 30 and [(no, k) for no, k, _ in got] == [(i + 1, k) for i, (_, k, _) in enumerate(sorted(got, key=lambda x: (-x[2], x[1])))]
+    # a ratio that rounds to the cut is on it
+    df = spark.createDataFrame([(1, 0.0, 1.4999996), (2, 2.0, 2.0)], "k long, t double, p double")
+    assert [r.k for r in metrics.noise_rank(df, "k", "t", "p", top=0, digits=6).collect()] == [1]
