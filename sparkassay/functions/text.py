@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,8 +63,15 @@ def safe_name(text: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """Three decimals; scientific for what would read as 0.000; a dash for missing."""
-    return F.when(x.isNull() | F.isnan(x), "-").when((x != 0) & (F.abs(x) < 0.001), F.format_string("%.2e", x)).otherwise(F.format_string("%.3f", x))
+    """Three decimals; scientific for what would read as 0.000; a dash for missing.
+
+    Python rounds the exact binary value as C does; Java's formatter rounds the shortest decimal.
+    """
+
+    def show(values: pd.Series) -> pd.Series:
+        return pd.Series(["-" if v != v else ("%.2e" if v != 0 and abs(v) < 0.001 else "%.3f") % v for v in values.astype("float64")], dtype=object)
+
+    return F.pandas_udf(show, "string")(x.cast("double"))
 
 
 def set_text(values: Column, sep: str = "|") -> Column:

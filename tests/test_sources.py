@@ -204,3 +204,12 @@ def test_fallback_and_alias_joins(spark):
     pts = spark.createDataFrame([(1, 0.5), (2, 7.0)], "i int, x double")
     rng = spark.createDataFrame([("r", 0.0, 1.0), ("s", 0.4, 9.0)], "n string, lo double, hi double")
     assert {(r.i, r.n) for r in joins.range_join(pts, rng, "x", "lo", "hi", 2.0).collect()} == {(1, "r"), (1, "s"), (2, "s")}
+
+
+def test_numbers_read_as_in_c(spark, tmp_path):
+    from sparkassay.plans.molecules import number_texts
+
+    rows = [(1, -33.65), (2, 14.85), (3, None), (4, float("nan")), (5, 0.0), (6, 9999.99), (7, 625000.0)]
+    spark.createDataFrame(rows, "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r.s_suppkey: r.shown for r in number_texts(spark, str(tmp_path)).collect()}
+    assert got == {1: "-3.36e-06", 2: "1.48e-06", 3: None, 4: "nan", 5: "0.000", 6: "1.00e-03", 7: "0.062"}
